@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+from ..session import shipped
+from .ann import op9_ann
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .langid import op5_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op6_packing
+from .quality import op2_quality
+from .sentencepieces import op7_sentencepiece
+from .warc import OP8_SQL, op8_warc
 from .wavelet import op3_token_shards
 
 QUERIES = {
-    "op1_line_dedup": op1_line_dedup,
-    "op3_token_shards": op3_token_shards,
-    "op6_packing": op6_packing,
-    "op10_exact_dedup": op10_exact_dedup,
+    name: shipped(query)
+    for name, query in {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_quality": op2_quality,
+        "op3_token_shards": op3_token_shards,
+        "op5_language_id": op5_language_id,
+        "op6_packing": op6_packing,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op8_warc": op8_warc,
+        "op9_ann": op9_ann,
+        "op10_exact_dedup": op10_exact_dedup,
+    }.items()
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op8_warc": OP8_SQL, "op10_exact_dedup": OP10_SQL}
