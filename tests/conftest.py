@@ -8,10 +8,8 @@ import duckdb
 import pytest
 
 REPO = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(REPO))
+sys.path[:0] = [str(REPO), str(REPO / "tests")]
 os.environ["PYTHONPATH"] = f"{REPO}:{os.environ.get('PYTHONPATH', '')}"
-SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
@@ -25,37 +23,18 @@ def spark(tmp_path_factory):
         .config("spark.sql.warehouse.dir", f"{shared}/warehouse").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from tideloom.session import ship
+
+    ship(s)
     yield s
     s.stop()
 
 
 @pytest.fixture(scope="session")
 def duck():
+    from support import GIVEN, SMALL
+
     c = duckdb.connect()
     for t in GIVEN:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return c
-
-
-def plain(x):
-    if isinstance(x, float):
-        return round(x, 6)
-    if isinstance(x, (list, tuple)):
-        return tuple(map(plain, x))
-    return x
-
-
-def rows_of(columns, rows):
-    """Rows as sorted tuples with columns in name order."""
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(columns), sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
-
-
-def same(spark_df, duck_rel):
-    """The row count, after it is asserted that both sides have the same columns and rows."""
-    a = rows_of(spark_df.columns, map(tuple, spark_df.collect()))
-    b = rows_of([x[0] for x in duck_rel.description], duck_rel.fetchall())
-    assert a[0] == b[0]
-    assert len(a[1]) == len(b[1])
-    assert a[1] == b[1]
-    return len(a[1])

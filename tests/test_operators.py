@@ -184,7 +184,7 @@ def test_entry_without_training_data(spark, tmp_path):
     import subprocess
     import sys
 
-    from conftest import REPO
+    from support import REPO
 
     shutil.copytree(REPO / "tideloom", tmp_path / "tideloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)

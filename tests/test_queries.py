@@ -1,7 +1,7 @@
 """Every query against its SQL on the same tables."""
 
 import pytest
-from conftest import SMALL, same
+from support import SMALL, same
 
 from tideloom.plans.catalog import ORACLE_SQL, QUERIES
 

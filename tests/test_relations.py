@@ -1,5 +1,5 @@
 import pytest
-from conftest import SMALL, same
+from support import SMALL, same
 
 from tideloom.sources.relations import RELATIONS, Tables, with_relations
 
