@@ -174,11 +174,11 @@ def _scorer(file: str, model: bytes, langs: int) -> Scorer:
 
 def _predict(file: str, langs: list[str], model):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = _scorer(file, model.value, len(langs))
+        s = _scorer(file, model.value, len(langs)) if langs else None
         for b in batches:
             best, sure = [], []
-            for x in s.scores(b["text"].fillna("").tolist()):
-                if x is None or not langs:
+            for x in s.scores(b["text"].fillna("").tolist()) if s else [None] * len(b):
+                if x is None:
                     best.append("und"), sure.append(0.0)
                 else:
                     p = np.exp(x - x.max())
