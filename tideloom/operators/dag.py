@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +51,11 @@ def ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.filter("status = 'inited'").select("dag_id", "node_id").join(met, ["dag_id", "node_id"])
 
 
-def _cyclic(pdf: pd.DataFrame) -> pd.DataFrame:
+def is_cyclic(edges: Iterable[tuple]) -> bool:
     """Takes away nodes without an edge in until none is left, or a cycle is."""
     out: dict = {}
     into: dict = {}
-    for a, b in {*zip(pdf["source"], pdf["target"])}:
+    for a, b in set(edges):
         out.setdefault(a, []).append(b)
         into[b] = into.get(b, 0) + 1
         into.setdefault(a, 0)
@@ -64,17 +66,23 @@ def _cyclic(pdf: pd.DataFrame) -> pd.DataFrame:
             into[b] -= 1
             if not into[b]:
                 free.append(b)
-    return pd.DataFrame({"dag_id": pdf["dag_id"].iloc[:1], "cyclic": left > 0})
+    return left > 0
 
 
 def cycles(edges: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
     """dag_id and whether the graph has a cycle, reachable from an origin or not.
 
-    Graphs of more nodes than a workflow may have are invalid whatever their edges and left out, so a group is bounded.
+    Graphs of more nodes than a workflow may have are invalid whatever their edges and left out, so a graph is a small
+    row; many of them go to Python in one batch. A graph's nodes are counted before its edges are gathered.
     """
     ends = edges.select("dag_id", F.explode(F.array("source", "target")).alias("n")).groupBy("dag_id").agg(F.count_distinct("n").alias("n")).filter(F.col("n") <= most_nodes)
-    kind = dict(edges.dtypes)["dag_id"]
-    return edges.join(ends, "dag_id", "left_semi").groupBy("dag_id").applyInPandas(_cyclic, f"dag_id {kind}, cyclic boolean")
+    graphs = edges.distinct().join(ends, "dag_id", "left_semi").groupBy("dag_id").agg(F.collect_list(F.struct("source", "target")).alias("e"))
+    ends_of = lambda name: F.transform("e", lambda x: x[name])
+
+    def cyclic(sources: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([is_cyclic(zip(a.tolist(), b.tolist())) for a, b in zip(sources, targets)], dtype="bool")
+
+    return graphs.select("dag_id", F.pandas_udf(cyclic, "boolean")(ends_of("source"), ends_of("target")).alias("cyclic"))
 
 
 def validate(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
