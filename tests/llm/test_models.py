@@ -71,7 +71,7 @@ def test_language_odd_rows(spark):
     rows = [(1, "der die das und nicht", "de"), (2, "the and that with", "en"), (3, None, "en"), (None, "the and", None), (4, "", None), (5, "12 34 !!", None), (6, "the " * 50_000, None), (6, "UND DIE nicht " + "x" * 500, None)]
     df = spark.createDataFrame([(*r, 0.5, 1) for r in rows], DOCS)
     langs, probs = langid.train(df)
-    assert langs == ["de", "en"]
+    assert langs == ["de", "en"] and langid.words_of("x² ½ Ⅷ_ñ9a") == ["x", "ñ", "a"]
     got = sorted((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in langid.predict(df, langs, probs).collect())
     assert [x[1] for x in got if x[0] in "345"] == ["und"] * 3 and all(0 <= x[2] <= 1 for x in got) and len(got) == len(rows)
     assert dict((x[0], x[1]) for x in got if x[0] in "12") == {"1": "de", "2": "en"} and ("None", "en") in [x[:2] for x in got]
