@@ -37,14 +37,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def write_sorted_buckets(df: DataFrame, name: str, keys: list[str], buckets: int, mode: str = "errorifexists") -> DataFrame:
-    """Append or create table `name`, bucketed and sorted by `keys`: merge joins on the keys read it without a shuffle."""
-    spark = df.sparkSession
-    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode(mode)
-    if mode != "append":
-        writer = writer.option("path", shared_dir(spark, name))
-    writer.saveAsTable(name)
-    return spark.table(name)
+def write_sorted_buckets(df: DataFrame, name: str, keys: list[str], buckets: int, append: bool = False) -> str:
+    """Create table `name`, or append to it, bucketed and sorted by `keys`: merge joins on the keys read it without a shuffle.
+
+    Returns the folder of a new table.
+    """
+    path = "" if append else shared_dir(df.sparkSession, name)
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.mode("append") if append else writer.option("path", path)).saveAsTable(name)
+    return path
 
 
 def hot_split_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:

@@ -50,7 +50,7 @@ class DigestIndex:
             found = groups.join(seen, "digest", "left").withColumn("known", F.coalesce("known", F.lit(False)))
             found = materialize(found.withColumn("keep_id", F.when(F.col("known"), F.col("seen_id")).otherwise(F.col("keep_id"))).drop("seen_id"), "digest_found")
             new = groups.join(index.select("digest"), "digest", "left_anti")
-        write_sorted_buckets(new.select("digest", "keep_id"), self.name, ["digest"], self.buckets, "append" if index is not None else "errorifexists")
+        write_sorted_buckets(new.select("digest", "keep_id"), self.name, ["digest"], self.buckets, append=index is not None)
         total = groups.agg(F.sum("group_size")).first()[0] or 0
         joined = hot_split_join(keys, found, ["digest"], "group_size", total)
         return joined.select(

@@ -15,6 +15,7 @@ from .common import hot_split_join, materialize, shared_dir, shuffle_partitions,
 #: White space stripped from a line's ends for its key.
 STRIP = b" \t\n\x0b\x0c\r"
 KEYS = ["h1", "h2"]
+RUN = "h1 long, h2 long, n_docs long, last long, fresh boolean"
 
 
 def line_keys(text: str, least: int) -> list[bytes | None]:
@@ -79,7 +80,7 @@ class LineRuns:
 
     `add` pre-aggregates a batch to one row per hash, merge-anti-joins it with the runs to learn which hashes are
     fresh, and adds it as a run of level 0; `fan_in` runs of a level are merged into one of the next. A run holds per
-    hash the number of its documents and the largest one. Runs are bucketed and sorted alike, so merges don't shuffle.
+    hash the number of its documents and the largest one. Runs are bucketed and sorted alike, so the anti-joins don't shuffle them.
     A document's lines must come in one batch.
     """
 
@@ -87,12 +88,13 @@ class LineRuns:
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or max(8, shuffle_partitions(spark))
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def _write(self, df: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         name = f"line_run_{level}_{uuid.uuid4().hex[:12]}"
-        write_sorted_buckets(df, name, KEYS, self.buckets)
+        self.paths[name] = write_sorted_buckets(df, name, KEYS, self.buckets)
         self.levels[level].append(name)
 
     def runs(self) -> list[DataFrame]:
@@ -105,28 +107,30 @@ class LineRuns:
             stats = materialize(stats, "line_batch")
             known = [r.select(*KEYS) for r in runs]
             fresh = reduce(lambda x, r: x.join(r, KEYS, "left_anti"), known, stats)
-            seen = stats.join(reduce(DataFrame.unionByName, known).distinct(), KEYS, "left_semi")
+            seen = stats.join(fresh.select(*KEYS), KEYS, "left_anti")
             stats = fresh.withColumn("fresh", F.lit(True)).unionByName(seen.withColumn("fresh", F.lit(False)))
         else:
             stats = stats.withColumn("fresh", F.lit(True))
         self._write(stats, 0)
         level = 0
         while len(self.levels[level]) >= self.fan_in:
-            merged = self._merged([self.spark.table(t) for t in self.levels[level]])
+            merged = self._merged(self.levels[level])
             old, self.levels[level] = self.levels[level], []
             self._write(merged, level + 1)
             for t in old:
                 self.spark.sql(f"DROP TABLE {t}")
             level += 1
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
+    def _merged(self, tables: list[str]) -> DataFrame:
+        # Read as plain files: Spark takes a union of bucketed scans for co-partitioned, yet puts their partitions one
+        # behind another, so that a key would be summed apart.
+        runs = [self.spark.read.schema(RUN).parquet(self.paths[t]) for t in tables]
         merged = reduce(DataFrame.unionByName, runs).groupBy(*KEYS)
         return merged.agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
 
     def totals(self) -> DataFrame:
         """h1, h2, n_docs, last, fresh over all batches."""
-        return self._merged(self.runs())
+        return self._merged([t for level in self.levels for t in level])
 
 
 def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fan_in: int = 3) -> DataFrame:
