@@ -1,7 +1,7 @@
 """A corpus pipeline of five training-data operators: each stage's table is written and is the next one's documents.
 
-Every stage but the last returns the columns of documents. Rows with a null doc_id are kept by the filters when their
-text is, and are told apart from others by their place in the table; empty tables pass through.
+Every stage but the last returns the columns of documents. The two classifiers filter rows where they lie; the two dedup
+stages keep rows by doc_id, so of rows that share one all stay if any does. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 from tideloom.llm.common import materialize
 from tideloom.llm.exact_dedup import DigestIndex
 from tideloom.llm.langid import crc_mod
-from tideloom.llm.langid import predict as predict_language
+from tideloom.llm.langid import prediction as language_of
 from tideloom.llm.langid import train as train_language
 from tideloom.llm.packing import pack_documents
-from tideloom.llm.quality import quality_labels
-from tideloom.llm.quality import score as score_quality
+from tideloom.llm.quality import probability, quality_labels
 from tideloom.llm.quality import train as train_quality
 from tideloom.llm.simhash import near_duplicates
 from tideloom.session import ship
 
 #: A language must have this posterior; all texts with enough letters to tell have one near 1.
 LEAST_SCORE = 0.5
+#: A document scored below is poor.
+GOOD = 0.3
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -35,14 +36,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language that the model knows."""
     ship(spark)
     langs, probs = train_language(docs.filter(crc_mod("doc_id", 4) != 2))
-    kept = predict_language(docs, langs, probs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return _keep(docs, kept)
+    p = language_of(spark, langs, probs)
+    return docs.filter((p["lang_pred"] != "und") & (p["score"] >= LEAST_SCORE))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier finds poor."""
     ship(spark)
-    return _keep(docs, score_quality(docs, train_quality(docs, quality_labels(spark, sf_dir))).filter("predicted = 1"))
+    return docs.filter(probability(spark, train_quality(docs, quality_labels(spark, sf_dir))) >= GOOD)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,9 +38,10 @@ class DigestIndex:
             docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(normal, 256)).alias("digest"), F.monotonically_increasing_id().alias("row")),
             "digests",
         )
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-        groups = materialize(keys.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size")), "digest_groups")
-        groups = groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
+        # Plain longs, so that groups are hashed; rows that tie in text and id are alike, so any of them may stay.
+        order = F.coalesce("doc_id", F.lit(2**63 - 1))
+        first = [F.min("doc_id").alias("keep_id"), F.min_by("row", order).alias("keep_row"), F.count(F.lit(1)).alias("group_size")]
+        groups = materialize(keys.groupBy("digest").agg(*first), "digest_groups")
         index = self.rows()
         if index is None:
             found = groups.withColumn("known", F.lit(False))

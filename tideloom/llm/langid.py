@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fraction_for, in_fraction, materialize
@@ -30,6 +30,8 @@ CACHED = 200_000
 
 def words_of(text: str) -> list[str]:
     words = WORDS.findall(text.lower())
+    if not all(map(str.isalpha, words)):  # numerals that are not digits
+        words = [w for w in ("".join(filter(str.isalpha, w)) for w in words) if w]
     if any(len(w) > MOST_CHARS for w in words):
         words = [w[k : k + MOST_CHARS] for w in words for k in range(0, len(w), MOST_CHARS)]
     return words
@@ -172,33 +174,37 @@ def _scorer(file: str, model: bytes, langs: int) -> Scorer:
     return Scorer(file, np.frombuffer(model, np.float64).reshape(langs, -1))
 
 
-def _predict(file: str, langs: list[str], model):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = _scorer(file, model.value, len(langs)) if langs else None
-        for b in batches:
+def prediction(spark: SparkSession, langs: list[str], probs: np.ndarray, text: str = "text", file: str | None = None) -> Column:
+    """A struct of lang_pred and score (its posterior among the learned languages) for the whole text of each row.
+
+    A column, so that rows stay where they are and only texts go to Python. The model, languages x pieces of the fixed
+    vocabulary, is broadcast.
+
+    Defined cases: null text, text without a letter, and an untrained model give `und` with score 0; equal languages go to
+    the first in order.
+    """
+    model = spark.sparkContext.broadcast(np.ascontiguousarray(probs, np.float64).tobytes())
+    place = file or tokenizer_file("piece_bpe_32k.model")
+
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        s = _scorer(place, model.value, len(langs)) if langs else None
+        for texts in batches:
             best, sure = [], []
-            for x in s.scores(b["text"].fillna("").tolist()) if s else [None] * len(b):
+            for x in s.scores(texts.fillna("").tolist()) if s else [None] * len(texts):
                 if x is None:
                     best.append("und"), sure.append(0.0)
                 else:
                     p = np.exp(x - x.max())
                     best.append(langs[int(p.argmax())]), sure.append(float(p.max() / p.sum()))
-            yield b.drop(columns="text").assign(lang_pred=best, score=sure)
+            yield pd.DataFrame({"lang_pred": best, "score": sure})
 
-    return rows
+    return F.pandas_udf(predict, "lang_pred string, score double")(F.col(text))
 
 
 def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, file: str | None = None) -> DataFrame:
-    """doc_id, lang_pred and score (its posterior among the learned languages) for each row's whole text.
-
-    The model, languages x pieces of the fixed vocabulary, is broadcast.
-
-    Defined cases: null text, text without a letter, and an untrained model give `und` with score 0; equal languages go to
-    the first in order; other columns are ignored; an empty table gives no row.
-    """
-    model = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(probs, np.float64).tobytes())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(_predict(file or tokenizer_file("piece_bpe_32k.model"), langs, model), "doc_id long, lang_pred string, score double")
+    """doc_id, lang_pred and score for each row; see prediction. Other columns are ignored; an empty table gives no row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), prediction(docs.sparkSession, langs, probs, file=file).alias("p"))
+    return rows.select("doc_id", "p.lang_pred", "p.score")
 
 
 def crc_mod(column: str, n: int) -> F.Column:

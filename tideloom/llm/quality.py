@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fraction_for, in_fraction
@@ -133,25 +133,28 @@ def _hasher(bits: int) -> Hasher:
     return Hasher(bits)
 
 
-def _score(weights, bits: int):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, h = weights.value, _hasher(bits)
-        for b in batches:
-            found = map(h.features, b["text"].fillna(""))
-            yield b.drop(columns="text").assign(score=[1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30))) for at, x in found])
+def probability(spark: SparkSession, weights: np.ndarray, text: str = "text") -> Column:
+    """The score of each row's whole text, a sparse dot product; a column, so only texts go to Python.
 
-    return rows
+    Defined cases: null and empty texts get the score of the bias alone.
+    """
+    sent, bits = spark.sparkContext.broadcast(weights.astype(np.float32)), (len(weights) - 1).bit_length() - 1
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w, h = sent.value, _hasher(bits)
+        for texts in batches:
+            found = map(h.features, texts.fillna(""))
+            yield pd.Series([1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30))) for at, x in found], dtype="float64")
+
+    return F.pandas_udf(score, "double")(F.col(text))
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score and predicted (1 from the threshold on) for each row's whole text, as a sparse dot product.
+    """doc_id, score and predicted (1 from the threshold on) for each row's whole text; see probability.
 
-    Defined cases: null and empty texts get the score of the bias alone; rows are independent, so null and repeated ids
-    need no rule; other columns are ignored; an empty table gives no row.
+    Rows are independent, so null and repeated ids need no rule; other columns are ignored; an empty table gives no row.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = rows.mapInPandas(_score(sent, (len(weights) - 1).bit_length() - 1), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), probability(docs.sparkSession, weights).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
