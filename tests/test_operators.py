@@ -151,6 +151,15 @@ def test_creation_and_replacement(spark):
     assert C.missing_buckets(old.selectExpr("k AS bucket")).count() == 63
 
 
+def test_replan_judges_each_row(spark):
+    schedules = "schedule_id long, fingerprint string"
+    old, new = spark.createDataFrame([(1, "a"), (2, "a")], schedules), spark.createDataFrame([(1, "b"), (2, "a"), (3, "a")], schedules)
+    rows = [("x", 1, "init"), ("x", 1, "failed"), ("x", 2, "init"), ("y", 3, "init"), ("z", 1, None), (None, None, "init"), (None, 1, "init")]
+    left = J.replan(old, new, spark.createDataFrame(rows, "delay_id string, schedule_id long, status string"))
+    assert left.columns == ["delay_id", "schedule_id", "status"]
+    assert {tuple(r) for r in left.collect()} == {("x", 1, "failed"), ("x", 2, "init"), ("z", 1, None), (None, None, "init")}
+
+
 def test_user_code_failures(spark):
     jobs = spark.createDataFrame([(1, "a b"), (2, "a !")], "job_id long, input string")
 

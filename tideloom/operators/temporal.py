@@ -87,7 +87,10 @@ def config_errors() -> Column:
 
 
 def replan(old: DataFrame, new: DataFrame, firings: DataFrame) -> DataFrame:
-    """Firings left after schedules were saved: initial firings of changed or new schedules go (fingerprint column)."""
+    """Firings left after schedules were saved: initial firings of changed or new schedules go (fingerprint column).
+
+    Each row is judged by its own status, so of rows that share a delay_id only the initial ones go; null statuses and schedules stay.
+    """
     changed = new.join(old.select("schedule_id", F.col("fingerprint").alias("was")), "schedule_id", "left").filter(F.col("was").isNull() | (F.col("was") != F.col("fingerprint")))
-    gone = firings.filter("status = 'init'").join(changed.select("schedule_id"), "schedule_id", "left_semi").select("delay_id")
-    return firings.join(gone, "delay_id", "left_anti")
+    of_changed = (F.col("schedule_id") == F.col("__changed")) & (F.col("status") == "init")
+    return firings.join(changed.select(F.col("schedule_id").alias("__changed")), of_changed, "left_anti")
