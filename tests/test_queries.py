@@ -14,3 +14,8 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_every_execution_has_its_result_map(spark):
+    jobs = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert QUERIES["task_results_all"](spark, SMALL).count() == jobs
