@@ -122,6 +122,15 @@ def test_dags(spark):
     assert {r[0]: r[1] for r in L.validate(nodes, edges).collect()} == {"a": None, "b": "origin_type", "c": "no_origin"}
 
 
+def test_every_stage_of_validation(spark):
+    kinds = {"ok": "start executor end", "last": "start executor executor", "type": "start script end", "cycle": "start executor executor end", "loop": "start executor end", "first": "executor executor end", "alone": "start"}
+    nodes = spark.createDataFrame([(d, i, k) for d, ks in kinds.items() for i, k in enumerate(ks.split(), 1)] + [("many", i, "executor") for i in range(101)], "dag_id string, node_id int, node_type string")
+    chain = [(d, i, i + 1) for d, ks in kinds.items() for i in range(1, len(ks.split()))]
+    edges = spark.createDataFrame(chain + [("cycle", 3, 2), ("loop", 3, 2), ("empty", 1, 2)], "dag_id string, source int, target int")
+    want = {"ok": None, "last": "last_type", "type": "node_error", "cycle": "cyclic", "loop": "no_last", "first": "origin_type", "alone": "no_origin", "empty": "empty", "many": "too_many_nodes"}
+    assert {r[0]: r[1] for r in L.validate_workflow(nodes, edges).collect()} == want
+
+
 def test_fold_order_and_repeats(spark):
     log = spark.createDataFrame([(1, 3, "run_success"), (1, 1, "dispatch_success"), (1, 2, "start"), (1, 2, "start"), (1, 4, "run_fail"), (2, 1, "run_success"), (3, 1, None)], "job_id long, at int, event string")
     got = {r["job_id"]: (r["status"], r["applied"], r["events"]) for r in I.fold_events(log, "job_id", ["at"], "event", I.JOB_EVENTS, "inited").collect()}

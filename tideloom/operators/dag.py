@@ -98,6 +98,28 @@ def validate(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES) -
     return all_.select("dag_id", error.alias("error"))
 
 
+def validate_workflow(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
+    """dag_id and the first error of all stages: empty, too_many_nodes, node_error, no_origin, origin_type, no_last, last_type, cyclic.
+
+    A graph that has edges but no nodes is empty. A node's error is a type that is none of start, executor and end; its
+    executor's own settings are not columns of nodes.
+    """
+    real = valid_edges(nodes, edges)
+    typed = nodes.select("dag_id", "node_id", "node_type")
+    unknown = ~F.coalesce(F.col("node_type").isin("start", "executor", "end"), F.lit(False))
+    sizes = nodes.groupBy("dag_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("bad"))
+    sizes = sizes.join(edges.select("dag_id").distinct(), "dag_id", "full")
+    of = lambda ends, kind, n, wrong: ends.join(typed, ["dag_id", "node_id"]).groupBy("dag_id").agg(F.count(F.lit(1)).alias(n), F.count_if(F.col("node_type") != kind).alias(wrong))
+    first, last = of(origins(real), "start", "origins", "wrong"), of(lasts(real), "end", "lasts", "wrong_lasts")
+    all_ = sizes.join(first, "dag_id", "left").join(last, "dag_id", "left").join(cycles(real, most_nodes), "dag_id", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    error = first_error(
+        (none("n"), "empty"), (F.col("n") > most_nodes, "too_many_nodes"), (F.col("bad") > 0, "node_error"), (none("origins"), "no_origin"), (F.col("wrong") > 0, "origin_type"),
+        (none("lasts"), "no_last"), (F.col("wrong_lasts") > 0, "last_type"), (F.coalesce("cyclic", F.lit(False)), "cyclic"),
+    )
+    return all_.select("dag_id", error.alias("error"))
+
+
 def finished(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Graphs whose nodes without successors have all succeeded."""
     ends = nodes.join(edges.select("dag_id", F.col("source").alias("node_id")), ["dag_id", "node_id"], "left_anti")

@@ -339,6 +339,20 @@ def dag_validate(t):
     return L.validate(t("dag_node"), t("dag_edge"))
 
 
+@query("""WITH RECURSIVE v AS (SELECT DISTINCT e.dag_id, e.source, e.target FROM {workflow_edge} e JOIN {workflow_node} a ON a.dag_id = e.dag_id AND a.node_id = e.source JOIN {workflow_node} b ON b.dag_id = e.dag_id AND b.node_id = e.target),
+    reach(dag_id, start, node) AS (SELECT dag_id, source, target FROM v UNION SELECT r.dag_id, r.start, e.target FROM reach r JOIN v e ON e.dag_id = r.dag_id AND e.source = r.node),
+    cyc AS (SELECT dag_id, bool_or(start = node) AS cyclic FROM reach GROUP BY 1),
+    sizes AS (SELECT dag_id, count(*) AS n, count(*) FILTER (node_type IS NULL OR node_type NOT IN ('start', 'executor', 'end')) AS bad FROM {workflow_node} GROUP BY 1),
+    origin AS (SELECT dag_id, count(*) AS n, count(*) FILTER (node_type <> 'start') AS wrong FROM {workflow_node} w WHERE EXISTS (SELECT 1 FROM v WHERE v.dag_id = w.dag_id AND v.source = w.node_id) AND NOT EXISTS (SELECT 1 FROM v WHERE v.dag_id = w.dag_id AND v.target = w.node_id) GROUP BY 1),
+    final AS (SELECT dag_id, count(*) AS n, count(*) FILTER (node_type <> 'end') AS wrong FROM {workflow_node} w WHERE EXISTS (SELECT 1 FROM v WHERE v.dag_id = w.dag_id AND v.target = w.node_id) AND NOT EXISTS (SELECT 1 FROM v WHERE v.dag_id = w.dag_id AND v.source = w.node_id) GROUP BY 1),
+    ids AS (SELECT dag_id FROM {workflow_node} UNION SELECT dag_id FROM {workflow_edge})
+    SELECT dag_id, CASE WHEN s.n IS NULL THEN 'empty' WHEN s.n > 100 THEN 'too_many_nodes' WHEN s.bad > 0 THEN 'node_error' WHEN o.n IS NULL THEN 'no_origin' WHEN o.wrong > 0 THEN 'origin_type' WHEN f.n IS NULL THEN 'no_last' WHEN f.wrong > 0 THEN 'last_type'
+    WHEN c.cyclic THEN 'cyclic' END AS error FROM ids LEFT JOIN sizes s USING (dag_id) LEFT JOIN origin o USING (dag_id) LEFT JOIN final f USING (dag_id) LEFT JOIN cyc c USING (dag_id)""")
+def workflow_validate(t):
+    """All stages of a workflow's validation, over graphs with end nodes; dag_validate's SQL has two of them."""
+    return L.validate_workflow(t("workflow_node"), t("workflow_edge"))
+
+
 @query("""SELECT n.dag_id, bool_and(n.status = 'succeed' OR n.status = 'failed' AND n.skip_when_fail) AS succeeded FROM {dag_node} n WHERE NOT EXISTS (SELECT 1 FROM {dag_edge} e WHERE e.dag_id = n.dag_id AND e.source = n.node_id) GROUP BY 1""")
 def dag_finished(t):
     return L.finished(t("dag_node"), t("dag_edge"))

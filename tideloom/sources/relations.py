@@ -75,6 +75,10 @@ def relation_sql(name: str, d: Dialect) -> str:
         "dag_edge": """SELECT dag_id, source, target FROM (SELECT execution_id AS dag_id, ref_id AS source, lead(ref_id) OVER (PARTITION BY execution_id ORDER BY ref_id) AS target FROM {job}) x WHERE target IS NOT NULL
             UNION SELECT execution_id, min(ref_id), max(ref_id) FROM {job} GROUP BY execution_id HAVING min(ref_id) < max(ref_id)
             UNION SELECT execution_id, max(ref_id), min(ref_id) FROM {job} WHERE execution_id % 10 = 0 GROUP BY execution_id HAVING min(ref_id) < max(ref_id)""",
+        "workflow_node": """SELECT dag_id, node_id, CASE WHEN dag_id % 17 = 3 AND node_id = 2 THEN 'script' WHEN node_type = 'executor' AND dag_id % 7 <> 3 AND node_id = max(node_id) OVER (PARTITION BY dag_id) THEN 'end' ELSE node_type END AS node_type
+            FROM {dag_node} WHERE dag_id % 31 <> 7""",
+        "workflow_edge": """SELECT dag_id, source, target FROM {dag_edge} WHERE source < target UNION SELECT dag_id, max(node_id), 2 FROM {dag_node} WHERE dag_id % 8 = 2 GROUP BY dag_id HAVING max(node_id) > 2
+            UNION SELECT dag_id, 3, 2 FROM {dag_node} WHERE dag_id % 8 = 5 GROUP BY dag_id HAVING max(node_id) > 3""",
         "version": f"""SELECT user_id AS ref_id, 'trigger' AS ref_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS {s}) AS version, event_type AS description, props AS config FROM {{events}}""",
         "trigger": f"""SELECT c_custkey AS trigger_id, c_name AS name, c_mktsegment AS description, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 60 + 1 AS {s}) ELSE '' END AS publish_version,
             CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 70 + 1 AS {s}) END AS draft_version, c_acctbal >= 0 AS is_enabled, c_custkey % 20 = 0 AS is_deleted FROM {{customer}}""",
@@ -85,7 +89,7 @@ def relation_sql(name: str, d: Dialect) -> str:
 
 RELATIONS = (
     "execution", "job_raw", "job", "worker", "worker_metric", "worker_executor", "tag", "access_log", "heartbeat", "schedule", "firing",
-    "broker", "bucket", "dag_node", "dag_edge", "version", "trigger", "job_event",
+    "broker", "bucket", "dag_node", "dag_edge", "workflow_node", "workflow_edge", "version", "trigger", "job_event",
 )
 
 
