@@ -4,6 +4,7 @@ import hashlib
 import math
 import struct
 from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -155,6 +156,19 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(v.filter("false"), v, 5).count() == 0 and ann.search(v.filter("vec_id = 101"), v, 5).count() == 0
 
 
+def test_copies_in_a_block_leave_smallest_ids_and_room():
+    """All have one code: 150 copies and 70 others, nearer or farther, which copies must not crowd out; then 256 vectors of one score."""
+    k, ones, rng = 20, np.ones(8), np.random.default_rng(5)
+    model = ann.Model(np.zeros((1, 8), np.float32), np.ones((8, 1, 1), np.float32), 1)
+    signs = np.stack([rng.permutation([0.5] * 4 + [-0.5] * 4) * m for m in 2.0 ** -np.arange(256).clip(0, 30)]) + ones
+    for x in (np.concatenate([np.ones((150, 8)), ones + np.arange(-60, 10)[:, None] / 100]), signs):
+        ids = rng.permutation(len(x))
+        left = pd.DataFrame({"list": 0, "vec_id": ids, "code": [bytes(8)] * len(x), "vec": [v.tobytes() for v in x]})
+        right = pd.DataFrame({"query_id": [1000], "vec": [ones.tobytes()], "floor": [-np.inf]})
+        got = ann._search(SimpleNamespace(value=model), k, ann.Settings())(left, right)
+        assert got["vec_id"].tolist() == [i for _, i in sorted(zip(-(x @ ones), ids))[:k]]
+
+
 PAGES = "page_id long, url string, html string, digest string, revisit int, n int"
 
 
