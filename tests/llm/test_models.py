@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from support import SMALL
 
 from tideloom.llm import ann, langid, quality, warc
@@ -169,6 +170,21 @@ def test_copies_in_a_block_leave_smallest_ids_and_room():
         assert got["vec_id"].tolist() == [i for _, i in sorted(zip(-(x @ ones), ids))[:k]]
 
 
+def test_lists_to_visit_are_measured_all_over_the_sample():
+    """The first ids are in one tight cluster, whose neighbours one list holds; all others are scattered."""
+    rng, s = np.random.default_rng(3), ann.Settings(measured=200, first=1)
+    tight = np.array([40.0] + [0.0] * 15) + rng.normal(0, 0.01, (220, 16))
+    assert ann.fit(np.concatenate([tight, rng.normal(0, 1, (3800, 16))]), 4020, s).probe > 5
+
+
+def test_sample_of_vectors_of_which_few_are_usable(spark):
+    zero = spark.range(12_000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.0), F.lit(0.0)).alias("embedding"))
+    few = spark.createDataFrame([(20_000 + i, [1.0, i / 8]) for i in range(3)], "vec_id long, embedding array<double>")
+    v = zero.unionByName(few)
+    got = ann.search(v, few, 5, ann.Settings(fit_rows=1)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(20000 + q, r, 20000 + i) for q, own in ((0, (1, 2)), (1, (2, 0)), (2, (1, 0))) for r, i in enumerate(own, 1)]
+
+
 PAGES = "page_id long, url string, html string, digest string, revisit int, n int"
 
 
