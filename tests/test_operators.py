@@ -137,6 +137,50 @@ def test_fold_order_and_repeats(spark):
     assert got == {1: ("succeed", 3, 5), 2: ("inited", 0, 1), 3: ("inited", 0, 1)}
 
 
+def test_fold_of_a_key_with_most_events(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cycle = {"go": (("a", "c"), "b"), "on": (("b",), "c"), "back": (("c",), "a")}
+        name = F.element_at(F.array(*map(F.lit, ("go", "on", "back", "none"))), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int"))
+        log = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 70).otherwise(7).alias("k"), F.col("id").alias("at"), name.alias("event"))
+        want = {}
+        for r in sorted(log.collect(), key=lambda r: r["at"]):
+            s, n, m = want.get(r["k"], ("a", 0, 0))
+            allowed, to = cycle.get(r["event"], ((), None))
+            want[r["k"]] = (to, n + 1, m + 1) if s in allowed else (s, n, m + 1)
+        assert {r["k"]: (r["status"], r["applied"], r["events"]) for r in I.fold_events(log, "k", ["at"], "event", cycle, "a").collect()} == want
+        assert I.fold_chunks(log, "k", ["at"], "event", cycle, "a").agg(F.max("n")).first()[0] < 5_000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_smooth_cycle_of_many_servers():
+    def plain(weights):
+        current, out = [0] * len(weights), []
+        for _ in range(sum(weights)):
+            current = [c + w for c, w in zip(current, weights)]
+            best = max(range(len(weights)), key=lambda i: (current[i], -i))
+            current[best] -= sum(weights)
+            out.append(best)
+        return out
+
+    for weights in ([1], [3, 1, 3, 2, 2, 3], [16, 1, 7, 7, 16, 5, 1]):
+        assert K.smooth_cycle(weights) == plain(weights)
+    assert K.smooth_cycle([4, 2, 2]) * 2 == plain([4, 2, 2])  # repeats after half the sum
+    assert len(K.smooth_cycle([i % 16 + 1 for i in range(20_000)])) == 170_000  # 3.4e9 steps times servers before
+
+
+def test_round_robin_spreads_a_group(spark):
+    servers = spark.createDataFrame([(1, i) for i in (5, 3, 9, 3)] + [(2, 8), (2, None)], "app int, server int")
+    requests = spark.createDataFrame([(1, n) for n in range(7)] + [(2, 4), (3, 1)], "app int, number long")
+    got = K.round_robin(requests, servers, "app", "server", "number")
+    assert sorted((r["app"], r["number"], r["server"]) for r in got.collect()) == [(1, n, (3, 5, 9)[n % 3]) for n in range(7)] + [(2, 4, 8)]
+    assert "collect_set" not in got._jdf.queryExecution().toString()
+
+
 def test_next_times(spark):
     now = datetime(2024, 1, 1, 12)
     s = "schedule_id int, start_time timestamp_ntz, schedule_delay long, schedule_interval long, last_trigger_at timestamp_ntz, last_feedback_at timestamp_ntz, next_trigger_at timestamp_ntz"

@@ -19,3 +19,8 @@ def test_runs(spark, name):
 def test_every_execution_has_its_result_map(spark):
     jobs = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert QUERIES["task_results_all"](spark, SMALL).count() == jobs
+
+
+def test_streamed_states_are_those_of_the_fold(spark):
+    states = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, SMALL).select("job_id", "status", "applied").collect())
+    assert states("stream_report_states") == states("job_state_machine")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,19 +41,34 @@ def appoint(candidates: DataFrame, group: str, id: str, wanted: str) -> DataFram
 
 
 def round_robin(requests: DataFrame, servers: DataFrame, group: str, id: str, number: str) -> DataFrame:
-    """Request `number` (from 0) of a group goes to server number mod n, in order of id."""
-    ring = servers.groupBy(group).agg(F.array_sort(F.collect_set(id)).alias("__ring"))
-    return requests.join(ring, group).withColumn(id, F.element_at("__ring", (F.col(number) % F.size("__ring") + 1).cast("int"))).drop("__ring")
+    """Request `number` (from 0) of a group goes to server number mod n, in order of id. Servers are numbered, so a request
+    carries its place and a group's requests are spread over its servers."""
+    ring = servers.select(group, id).filter(F.col(id).isNotNull()).distinct()
+    ring = ring.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(id)).cast("long") - 1)
+    length = ring.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    placed = requests.join(length, group).withColumn("__place", F.col(number).cast("long") % F.col("__n")).drop("__n")
+    return placed.join(ring, [group, "__place"], "left").drop("__place")
 
 
 def smooth_cycle(weights: list[int]) -> list[int]:
-    """One cycle of smooth weighted round robin over servers of these weights; it repeats after their sum."""
-    current, out = [0] * len(weights), []
-    for _ in range(sum(weights)):
-        current = [c + w for c, w in zip(current, weights)]
-        best = max(range(len(weights)), key=lambda i: (current[i], -i))
-        current[best] -= sum(weights)
-        out.append(best)
+    """One cycle of smooth weighted round robin over servers of these weights; it repeats after their sum over their divisor.
+
+    Servers of one weight are picked in turn, so a step compares one candidate for each distinct weight, not all servers.
+    """
+    by: dict[int, list[int]] = {}
+    divisor, out = math.gcd(*weights), []
+    for i, w in enumerate(weights):
+        by.setdefault(w // divisor, []).append(i)
+    total, turn = sum(w * len(own) for w, own in by.items()), dict.fromkeys(by, 0)
+    for t in range(1, total + 1):
+        best, most = 0, None
+        for w, own in by.items():
+            rounds, at = divmod(turn[w], len(own))
+            value = (t * w - total * rounds, -own[at])
+            if most is None or value > most:
+                best, most = w, value
+        out.append(-most[1])
+        turn[best] += 1
     return out
 
 

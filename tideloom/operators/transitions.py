@@ -41,19 +41,47 @@ def guarded_update(rows: DataFrame, allowed: tuple[str, ...], to: str, where: Co
     return out.withColumn("status", F.when(F.col("applied"), F.lit(to)).otherwise(F.col("status")))
 
 
-def fold_events(log: DataFrame, key: str, at: list[str], event: str, events: Mapping, initial: str) -> DataFrame:
-    """Final status of each key and how many of its events applied: its events in order, each guarded.
+def states_of(events: Mapping, initial: str) -> list[str]:
+    """All states that a key can be in."""
+    return sorted({initial} | {to for _, to in events.values()})
+
+
+def _start(status: Column) -> Column:
+    return F.struct(status.alias("status"), F.lit(0).cast("bigint").alias("applied"))
 
-    A key is one job or task, whose events are few; they are folded in one expression without leaving the engine.
+
+def fold_chunks(log: DataFrame, key: str, at: list[str], event: str, events: Mapping, initial: str) -> DataFrame:
+    """key, chunk, n events, and for each of states_of where a chunk's events lead from it and how many apply.
+
+    Chunks are partitions of a range by key and time, so a key of many events is in many of them, in order.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(*at, F.col(event).alias("event"))))
-    start = F.struct(F.lit(initial).alias("status"), F.lit(0).cast("bigint").alias("applied"))
 
     def step(a: Column, e: Column) -> Column:
         new = next_state(a["status"], e["event"], events)
         return F.struct(new.alias("status"), (a["applied"] + F.when(new != a["status"], 1).otherwise(0)).alias("applied"))
 
-    grouped = log.groupBy(key).agg(F.aggregate(ordered, start, step).alias("s"), F.count(F.lit(1)).alias("events"))
+    ranged = log.select(key, *at, F.col(event).alias("event")).repartitionByRange(key, *at, "event").withColumn("chunk", F.spark_partition_id())
+    ordered = F.array_sort(F.collect_list(F.struct(*at, "event")))
+    starts = F.array(*(_start(F.lit(s)) for s in states_of(events, initial)))
+    to = F.aggregate(ordered, starts, lambda all_, e: F.transform(all_, lambda a: step(a, e)))
+    return ranged.groupBy(key, "chunk").agg(to.alias("to"), F.count(F.lit(1)).alias("n"))
+
+
+def fold_events(log: DataFrame, key: str, at: list[str], event: str, events: Mapping, initial: str) -> DataFrame:
+    """Final status of each key and how many of its events applied: its events in order, each guarded.
+
+    A key's events are a map from the few states to states, with a count: chunks of them are folded to such maps, which
+    are then composed, so no task has all events of a key.
+    """
+    place = F.array(*map(F.lit, states_of(events, initial)))
+
+    def compose(a: Column, c: Column) -> Column:
+        to = F.element_at(c["to"], F.array_position(place, a["status"]).cast("int"))
+        return F.struct(to["status"].alias("status"), (a["applied"] + to["applied"]).alias("applied"))
+
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "to")))
+    chunks = fold_chunks(log, key, at, event, events, initial)
+    grouped = chunks.groupBy(key).agg(F.aggregate(parts, _start(F.lit(initial)), compose).alias("s"), F.sum("n").alias("events"))
     return grouped.select(key, F.col("s.status").alias("status"), F.col("s.applied").alias("applied"), "events")
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.transitions import JOB_EVENTS
+from ..operators.transitions import JOB_EVENTS, states_of
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, like: DataFrame, files_per_trigger: int = 1000) -> DataFrame:
@@ -68,17 +68,33 @@ def first_reports(log: DataFrame, key: list[str], at: str, within: str = "30 day
 def report_states(log: DataFrame, key: str = "job_id", events: Mapping = JOB_EVENTS, initial: str = "inited") -> DataFrame:
     """Status of each key after its reports so far, guarded as in fold_events, kept as state between batches.
 
-    log: key, at, event_id, event. Reports of a batch are taken in order of (at, event_id).
+    log: key, at, event_id, event. Reports of a batch are taken in order of (at, event_id): they are dealt by range, each
+    partition folds its reports of a key to a map over the states, and a key composes those few maps.
     """
+    states = states_of(events, initial)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [f for f in frames if len(f)]
+        if not rows:
+            return
+        for k, own in pd.concat(rows).sort_values(["at", "event_id"]).groupby(key, sort=False, dropna=False):
+            to = [(s, 0) for s in states]
+            for event in own["event"]:
+                allowed, new = events.get(event, ((), None))
+                to = [(new, n + 1) if s in allowed else (s, n) for s, n in to]
+            first = own.iloc[0]
+            yield pd.DataFrame({key: [k], "at": [first["at"]], "event_id": [first["event_id"]], "statuses": [[s for s, _ in to]], "counts": [[n for _, n in to]]})
 
     def step(key_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         status, applied = state.get if state.exists else (initial, 0)
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        for event in rows["event"]:
-            allowed, to = events.get(event, ((), None))
-            if status in allowed:
-                status, applied = to, applied + 1
+        chunks = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        for statuses, counts in zip(chunks["statuses"], chunks["counts"]):
+            i = states.index(status)
+            status, applied = statuses[i], applied + int(counts[i])
         state.update((status, applied))
         yield pd.DataFrame({key: [key_[0]], "status": [status], "applied": [applied]})
 
-    return log.groupBy(key).applyInPandasWithState(step, f"{key} long, status string, applied long", "status string, applied long", "update", "NoTimeout")
+    types = dict(log.dtypes)
+    ranged = log.select(key, "at", "event_id", "event").repartitionByRange(key, "at", "event_id")
+    chunks = ranged.mapInPandas(fold, f"{key} {types[key]}, at {types['at']}, event_id {types['event_id']}, statuses array<string>, counts array<long>")
+    return chunks.groupBy(key).applyInPandasWithState(step, f"{key} long, status string, applied long", "status string, applied long", "update", "NoTimeout")
