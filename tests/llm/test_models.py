@@ -215,6 +215,16 @@ def archive(dictionary=b"", records=2):
     return w.bytes()
 
 
+def test_archives_of_a_page_with_two_payloads(spark):
+    """Page 2 has a copy of page 1, of page 0 and a payload of its own."""
+    texts = {c: f"<p>{c * 200}</p>" for c in "abc"}
+    pages = spark.createDataFrame([(1, "u", texts["a"]), (2, "u", texts["a"]), (2, "u", texts["b"]), (0, "u", texts["c"]), (2, "u", texts["c"])], "page_id long, url string, html string")
+    got = warc.round_trip(pages).collect()
+    sha = {hashlib.sha256(t.encode()).hexdigest(): c for c, t in texts.items()}
+    rows = sorted((r["page_id"], sha[r["payload_digest"]], r["record_type"], r["refers_to"] if r["refers_to"] is not None else -1) for r in got)
+    assert rows == [(0, "c", "response", -1), (1, "a", "response", -1), (2, "a", "revisit", 1), (2, "b", "response", -1), (2, "c", "revisit", 0)]
+
+
 @pytest.mark.parametrize("dictionary", [b"", b"some raw dictionary content " * 9])
 def test_archive_round_trip(dictionary):
     assert [b for _, b in warc.read_archive(archive(dictionary))] == [b"block 0", b"block 1"]

@@ -188,9 +188,9 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     groups = materialize(shared.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1"), "payload_groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     copies = hot_split_join(shared.select("page_id", "digest"), groups, ["digest"], "n", total)
-    later = copies.filter(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("page_id", F.col("first.page_id").alias("refers_to"))
+    later = copies.filter(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("page_id", "digest", F.col("first.page_id").alias("refers_to"))
     later = later.filter("page_id IS NOT NULL").distinct().withColumn("revisit", F.lit(True))
-    records = pages.withColumn("digest", F.sha2(payload, 256)).join(later, "page_id", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
+    records = pages.withColumn("digest", F.sha2(payload, 256)).join(later, ["page_id", "digest"], "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
     written = records.mapInPandas(_write(folder, train_dictionary(pages), archive_bytes), "archive string, bytes long")
     return materialize(written, "archives")
 
@@ -205,8 +205,8 @@ def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFram
     """Write pages to archives and read them back.
 
     Defined cases: null html is an empty payload, null urls get one from the page_id; a page_id comes first by its value,
-    null last; a row with a null page_id is always a response; rows that repeat a page_id with one payload are written
-    each, as responses if they are the first; an empty table gives no archive and no row; other columns are ignored.
+    null last; a row with a null page_id is always a response; rows that repeat a page_id are written each,
+    as responses where theirs is the first page_id of the payload; an empty table gives no archive and no row; other columns are ignored.
     """
     spark = pages.sparkSession
     folder = shared_dir(spark, "warc")
