@@ -131,6 +131,12 @@ def test_every_stage_of_validation(spark):
     assert {r[0]: r[1] for r in L.validate_workflow(nodes, edges).collect()} == want
 
 
+def test_cycles_of_graphs_of_any_size(spark):
+    chain = [(d, i, i + 1) for d in "ab" for i in range(3_000)]
+    edges = spark.createDataFrame(chain + [("b", 2_999, 1_500), ("c", 1, 2)], "dag_id string, source int, target int")
+    assert {r[0]: r[1] for r in L.cycles(edges).collect()} == {"a": False, "b": True, "c": False}
+
+
 def test_fold_order_and_repeats(spark):
     log = spark.createDataFrame([(1, 3, "run_success"), (1, 1, "dispatch_success"), (1, 2, "start"), (1, 2, "start"), (1, 4, "run_fail"), (2, 1, "run_success"), (3, 1, None)], "job_id long, at int, event string")
     got = {r["job_id"]: (r["status"], r["applied"], r["events"]) for r in I.fold_events(log, "job_id", ["at"], "event", I.JOB_EVENTS, "inited").collect()}

@@ -69,14 +69,17 @@ def is_cyclic(edges: Iterable[tuple]) -> bool:
     return left > 0
 
 
-def cycles(edges: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
+def cycles(edges: DataFrame, most_nodes: int | None = None) -> DataFrame:
     """dag_id and whether the graph has a cycle, reachable from an origin or not.
 
-    Graphs of more nodes than a workflow may have are invalid whatever their edges and left out, so a graph is a small
-    row; many of them go to Python in one batch. A graph's nodes are counted before its edges are gathered.
+    With most_nodes, graphs of more nodes are left out, for callers to whom they are invalid whatever their edges; they
+    are counted before edges are gathered. A graph is a row, many of which go to Python in one batch; its test is linear.
     """
-    ends = edges.select("dag_id", F.explode(F.array("source", "target")).alias("n")).groupBy("dag_id").agg(F.count_distinct("n").alias("n")).filter(F.col("n") <= most_nodes)
-    graphs = edges.distinct().join(ends, "dag_id", "left_semi").groupBy("dag_id").agg(F.collect_list(F.struct("source", "target")).alias("e"))
+    some = edges.distinct()
+    if most_nodes is not None:
+        ends = edges.select("dag_id", F.explode(F.array("source", "target")).alias("n")).groupBy("dag_id").agg(F.count_distinct("n").alias("n")).filter(F.col("n") <= most_nodes)
+        some = some.join(ends, "dag_id", "left_semi")
+    graphs = some.groupBy("dag_id").agg(F.collect_list(F.struct("source", "target")).alias("e"))
     ends_of = lambda name: F.transform("e", lambda x: x[name])
 
     def cyclic(sources: pd.Series, targets: pd.Series) -> pd.Series:
