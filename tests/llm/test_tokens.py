@@ -6,6 +6,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from support import SMALL
 
 from tideloom.llm import packing, sentencepieces, wavelet
@@ -34,35 +35,84 @@ def test_word_cache_is_exact():
 
 def test_word_cache_forgets(monkeypatch):
     monkeypatch.setattr("tideloom.llm.tokens.CACHED", 300)
+    monkeypatch.setattr("tideloom.llm.tokens.CHUNK", 20_000)
     cache, texts = WordCache(BPE), small_texts()
     for text, got in zip(texts, cache.encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(text)
-    assert len(cache.ids) < 3000
-
-
-@pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 3000])
-def test_wavelet_matrix(n):
-    x = np.random.default_rng(n).integers(0, 50, n)
-    m = wavelet.WaveletMatrix.build(x, 6)
-    assert m.decode().tolist() == x.tolist()
-    for i in range(0, n, 7):
-        assert m.access(i) == x[i] and m.rank(int(x[i]), i) == int((x[:i] == x[i]).sum())
-    for v in (0, 17, 49, 63, 64):
-        at = np.flatnonzero(x == v)
-        assert m.rank(v) == len(at) and m.select(v, len(at)) == -1
-        assert [m.select(v, k) for k in range(0, len(at), 5)] == at[::5].tolist()
+    assert len(cache.ids) < 6000
+
+
+def test_long_texts_are_cut_before_white_space(monkeypatch):
+    monkeypatch.setattr("tideloom.llm.tokens.CHUNK", 50)
+    for text in ["a word and\nanother, " * 40, "x" * 300, "one " * 12 + "y" * 200 + " end", "\n".join(["ab"] * 60) + "\n"]:
+        assert np.frombuffer(WordCache(BPE).encode(["b", text, ""])[1], "<u4").tolist() == ids_of(text)
+
+
+@pytest.mark.parametrize("n, most", [(0, 50), (1, 50), (7, 50), (512, 50), (513, 1), (3000, 50), (5000, 70_000)])
+def test_wavelet_matrix(n, most):
+    x = np.minimum(np.random.default_rng(n).geometric(0.05, n), most) if most == 50 else np.random.default_rng(n).integers(0, most, n)
+    data = wavelet.pack_shard(1, [1], [n], x.astype("<u4"))
+    for m in (wavelet.WaveletMatrix.build(x), wavelet.read_shard(data)[3], wavelet.open_shard(lambda at, size: data[at : at + size])[2]):
+        assert m.decode().tolist() == x.tolist()
+        at = np.random.default_rng(1).permutation(n)[:300]
+        assert m.access(at).tolist() == x[at].tolist()
+        with pytest.raises(IndexError):
+            m.access([n])
+        for v in (*np.unique(x)[::13].tolist(), 99_999):
+            own, ends = np.flatnonzero(x == v), np.array([0, n // 3, n, n + 5])
+            assert m.count(v) == len(own) and m.rank(v, ends).tolist() == [int((x[:e] == v).sum()) for e in ends]
+            assert m.select(v, [-1, *range(len(own)), len(own)]).tolist() == [-1, *own.tolist(), -1]
+
+
+def test_codes_are_short_and_bounded():
+    counts = np.array([2**k for k in range(40)])
+    assert wavelet.code_lengths(counts[:9], 16).tolist() == [8, 8, 7, 6, 5, 4, 3, 2, 1]
+    lengths = wavelet.code_lengths(counts, 16)
+    assert lengths.max() <= 16 and (0.5**lengths).sum() <= 1
+    for own in (counts, np.ones(1), np.array([3, 3, 3])):
+        lengths = wavelet.code_lengths(own, 16)
+        c = wavelet.Codes(np.arange(len(own)), own.astype(np.int64), lengths)
+        texts = [f"{code:0{n}b}" for code, n in zip(c.codes.tolist(), lengths.tolist())]
+        assert not any(a != b and b.startswith(a) for a in texts for b in texts) and len(set(texts)) == len(own)
 
 
 def test_shard_round_trip_and_damage():
     ids = np.array([5, 2, 70000, 2], np.uint32)
-    data = wavelet.pack_shard(9, [None, 4], [2, 2], ids, 17)
-    part, docs, lengths, m = wavelet.read_shard(data)
-    assert (part, docs, lengths.tolist(), m.decode().tolist()) == (9, [None, 4], [2, 2], ids.tolist())
-    for bad in (b"x" + data[1:], data + b"1"):
+    data = wavelet.pack_shard(9, [None, 4], [2, 2], ids)
+    shard, docs, lengths, m = wavelet.read_shard(data)
+    assert (shard, docs, lengths.tolist(), m.decode().tolist()) == (9, [None, 4], [2, 2], ids.tolist())
+    flipped = bytearray(data)
+    flipped[len(data) // 2] ^= 4
+    for bad in (b"x" + data[1:], data + b"1", data[:-9], bytes(flipped), b""):
         with pytest.raises(ValueError):
             wavelet.read_shard(bad)
 
 
+def test_lookups_read_only_what_they_need():
+    x = np.random.default_rng(0).integers(0, 300, 200_000).astype("<u4")
+    data, seen = wavelet.pack_shard(0, [1], [len(x)], x), []
+    read = lambda at, size: (seen.append(size), data[at : at + size])[1]
+    m = wavelet.open_shard(read)[2]
+    assert m.access([123_456])[0] == x[123_456] and m.select(7, [5])[0] == np.flatnonzero(x == 7)[5] and sum(seen) < len(data) / 20
+
+
+def test_spark_lookups(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "a b a"), (None, "a b a")]
+    folder = f"file://{tmp_path}/wvm"
+    catalog = wavelet.write_ids(frame(spark, rows), folder, BPE, 2, 100)
+    ids = np.concatenate([np.array([*ids_of(t), 2]) for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))])
+    got = wavelet.read_ids(catalog, folder, 2)
+    assert got.agg(F.sum("n_tokens")).first()[0] == len(ids) and catalog.count() > 1
+    want = np.empty(len(ids), np.int64)
+    for r in wavelet.token_at(catalog, spark.range(-2, len(ids) + 2).withColumnRenamed("id", "position"), step=64).collect():
+        want[r["position"]] = r["token"]
+    # Texts that share doc_id 3 come in the order of their hashes.
+    assert sorted(want.tolist()) == sorted(ids.tolist()) and (want[:60] == ids[:60]).all()
+    tokens = [2, int(ids[0]), 49_999]
+    assert {r["token"]: r["n"] for r in wavelet.count_of(catalog, tokens).collect()} == {t: int((ids == t).sum()) for t in tokens}
+    assert sorted(r["position"] for r in wavelet.positions_of(catalog, 2, some=3).collect()) == np.flatnonzero(want == 2).tolist()
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, shard int, start int")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,12 @@ HOT_SHARE = 4096
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is unset (tests, a single machine) a temporary folder takes its place.
+    Only where that setting is unset on a single machine (tests) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tideloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tideloom/{name}-{uuid.uuid4().hex[:12]}"
@@ -75,6 +79,16 @@ def put_bytes(uri: str, data: bytes) -> None:
     store.move(part, path)
 
 
+@contextmanager
+def open_bytes(uri: str) -> Iterator[Callable[[int, int], bytes]]:
+    """read(offset, size) of a file that put_bytes wrote."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    with store.open_input_file(path) as f:
+        yield lambda at, size: f.read_at(size, at)
+
+
 def some(batches: Iterator, cost, most: int) -> Iterator[list]:
     """Lists of successive items whose summed cost reaches `most`; one dear item makes a list of its own."""
     held, sum_ = [], 0

@@ -118,13 +118,15 @@ def _pack_rows(file: str, end_id: int, tiers: tuple[int, ...], held_ids: int, st
 
         for b in batches:
             own, texts = b["doc_id"].tolist(), b["text"].fillna("").tolist()
-            for lo in range(0, len(texts), 64):
-                for d, x in zip(own[lo : lo + 64], cache.encode(texts[lo : lo + 64])):
+            todo = iter(own)
+            for some in cache.chunks(texts):
+                for x in some:
+                    d = next(todo)
                     docs.append(None if pd.isna(d) else int(d))
                     ids.append(x + end)
                     size += len(ids[-1]) // 4
-                if size >= held_ids:
-                    yield flush()
+                    if size >= held_ids:
+                        yield flush()
         if docs:
             yield flush()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,9 @@ ODD = re.compile(r"\s[ \n]|[ \n]\s")
 #: A word of Latin letters with ASCII punctuation behind: the pattern makes one piece of each.
 LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Words that a worker remembers in each of two generations.
-CACHED = 350_000
+CACHED = 700_000
+#: Characters that are encoded at a time; longer texts are cut before a space or line end, where words don't depend on each other.
+CHUNK = 8_000_000
 
 
 def tokenizer_file(name: str) -> str:
@@ -97,25 +100,74 @@ class WordCache:
                 here[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if is_odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        out = []
-        for lo in range(0, len(texts), 64):
-            some = parts[lo : lo + 64]
-            if len(self.ids) > CACHED:
-                self.old, self.ids = self.ids, {}
-            own = set().union(*(words[1:] for words in some if words is not None))
-            if new := own.difference(self.ids):
-                if len(own) > CACHED:  # a text of too many different words
-                    out.extend(map(self.whole, texts[lo : lo + 64]))
-                    continue
-                self.learn(list(new))
-            for text, words in zip(texts[lo : lo + 64], some):
-                if words is None:
-                    out.append(self.whole(text))
-                else:  # the first word has no space in front
-                    out.append((self.whole(words[0]) if words[0] else b"") + b"".join(map(self.ids.__getitem__, words[1:])))
+        """Ids of each text."""
+        return [ids for some in self.chunks(texts) for ids in some]
+
+    def chunks(self, texts: list[str]) -> Iterator[list[bytes]]:
+        """Ids of successive texts, about CHUNK characters at a time."""
+        held, size = [], 0
+        for t in texts:
+            if held and size + len(t) > CHUNK:
+                yield self._chunk(held)
+                held, size = [], 0
+            held.append(t)
+            size += len(t)
+        if held:
+            yield self._chunk(held)
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        out, plain = [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            if is_odd(t):
+                out[i] = self.whole(t)
+            elif len(t) <= CHUNK:
+                plain.append(i)
+            else:
+                out[i] = b"".join(x for piece in slices(t) for x in self._words([piece]))
+        for i, ids in zip(plain, self._words([texts[i] for i in plain])):
+            out[i] = ids
         return out
 
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose white space stands alone: distinct words are looked up, then laid out in the texts' order."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        if len(self.ids) > CACHED:
+            self.old, self.ids = self.ids, {}
+        split = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        at, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        place, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        first = [words[i] for i in place[at[:-1]].tolist()]  # these have no space in front
+        place[at[:-1]] = np.arange(len(words), len(words) + len(first))
+        used = np.zeros(len(words) + len(first), bool)
+        used[place] = True
+        rest, here = used[: len(words)].tolist(), self.ids
+        if new := [w for w, u in zip(words, rest) if u and w not in here]:
+            self.learn(new)
+        parts = [here[w] if u else b"" for w, u in zip(words, rest)] + [self.whole(w) if w else b"" for w in first]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, n = np.frombuffer(b"".join(parts), "<u4"), size[place]
+        ends = np.cumsum(n)
+        source = np.repeat((np.cumsum(size) - size)[place] - (ends - n), n)
+        source += np.arange(len(source))
+        ids, cut = flat[source].tobytes(), (np.append(0, ends)[at] * 4).tolist()
+        return [ids[lo:hi] for lo, hi in zip(cut, cut[1:])]
+
+
+def slices(text: str) -> Iterator[str]:
+    """Parts of about CHUNK characters, each but the first beginning with a space or line end."""
+    start = 0
+    while len(text) - start > CHUNK:
+        cuts = [i for i in (text.find(" ", start + CHUNK), text.find("\n", start + CHUNK)) if i >= 0]
+        if not cuts:
+            break
+        yield text[start : min(cuts)]
+        start = min(cuts)
+    yield text[start:]
+
 
 @lru_cache(1)
 def word_cache(file: str) -> WordCache:
