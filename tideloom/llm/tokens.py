@@ -18,7 +18,7 @@ LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Words that a worker remembers in each of two generations.
 CACHED = 700_000
 #: Characters that are encoded at a time; longer texts are cut before a space or line end, where words don't depend on each other.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 
 
 def tokenizer_file(name: str) -> str:

@@ -118,19 +118,21 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in their order."""
-        codes, ids = self.codes, np.zeros(0, np.uint32)
+        codes = self.codes
+        kind = np.uint16 if not len(codes.symbols) or codes.symbols[-1] < 1 << 16 else np.uint32
+        ids = np.zeros(0, kind)
         for level in range(codes.planes - 1, -1, -1):
             own = codes.leaves[level + 1]
-            below = np.concatenate([ids, np.repeat(codes.symbols[own].astype(np.uint32), codes.counts[own])])
+            below = np.concatenate([ids, np.repeat(codes.symbols[own].astype(kind), codes.counts[own])])
             n, z = self.sizes[level], self.zeros[level]
             bits = np.ascontiguousarray(self.fetch(level, None)["bits"]).view(np.uint8).ravel()
             one = np.unpackbits(bits, count=n, bitorder="little").view(bool)
             if len(below) != n:
                 raise ValueError("planes that don't add up")
-            ids = np.empty(n, np.uint32)
+            ids = np.empty(n, kind)
             ids[np.flatnonzero(~one)] = below[:z]
             ids[np.flatnonzero(one)] = below[z:]
-        return ids.astype("<u4", copy=False)
+        return ids.astype("<u4")
 
     def _ones(self, level: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ones among the first i bits of a plane, and bit i."""
