@@ -21,6 +21,19 @@ CACHED = 700_000
 CHUNK = 4_000_000
 
 
+def byte_chars() -> np.ndarray:
+    """How byte-level vocabularies write a byte: printable Latin-1 as itself, others from U+0100 on in their order. Here
+    0 stands for the border of two words and 1 for a space."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    chars = np.array([b if b in plain else 256 + other.index(b) for b in range(256)], "<u4")
+    chars[:2] = ord(" "), chars[0x20]
+    return chars
+
+
+BYTE_CHARS = byte_chars()
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public vocabulary file."""
     import public_tokenizers
@@ -49,9 +62,9 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        #: The same ids for space-joined words of letters alone, without the pattern.
+        #: The same ids for words of letters alone whose bytes are already written as the vocabulary writes them.
         self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         #: Ids that hold a space, which of a word's ids only the first does.
         self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t[:1] == "Ġ"]] = True
@@ -63,8 +76,13 @@ class WordCache:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _letters(self, words: list[str]) -> None:
-        e = self.letters.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(e.ids, "<u4")
+        raw = np.frombuffer(("\1" + "\0\1".join(words)).encode(), np.uint8)
+        text, most = BYTE_CHARS[raw].tobytes().decode("utf-32-le"), 1 << 14
+        cuts, at = [0], 0
+        while at < len(text) and (at := text.find(" ", at + most)) >= 0:
+            cuts.append(at)
+        parts = [text[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(text)])]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.letters.encode_batch_fast(parts, add_special_tokens=False)])
         at, ids = np.flatnonzero(self.starts[ids]) * 4, ids.tobytes()
         for w, start, end in zip(words, at.tolist(), [*at[1:].tolist(), len(ids)], strict=True):
             self.ids[w] = ids[start:end]
@@ -145,9 +163,12 @@ class WordCache:
         used = np.zeros(len(words) + len(first), bool)
         used[place] = True
         rest, here = used[: len(words)].tolist(), self.ids
-        if new := [w for w, u in zip(words, rest) if u and w not in here]:
-            self.learn(new)
-        parts = [here[w] if u else b"" for w, u in zip(words, rest)] + [self.whole(w) if w else b"" for w in first]
+        parts = [here.get(w) if u else b"" for w, u in zip(words, rest)]
+        if new := [i for i, x in enumerate(parts) if x is None]:
+            self.learn([words[i] for i in new])
+            for i in new:
+                parts[i] = here[words[i]]
+        parts += [self.whole(w) if w else b"" for w in first]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, n = np.frombuffer(b"".join(parts), "<u4"), size[place]
         ends = np.cumsum(n)
