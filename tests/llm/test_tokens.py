@@ -14,7 +14,7 @@ from tideloom.llm.pieces import DoubleArrayTrie, Vocabulary, vocabulary
 from tideloom.llm.tokens import WordCache, tokenizer_file, word_cache
 
 BPE, PIECES = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
-ODD = ["", " ", "\n", "a  b", "a \n b", " a", "\na", "a\n", "a ", "x\n\ny z", "don't  do\x85 it's", "a b c  d", "　x y\x1c z", "!\x1c a", "word, word's (word) Été! naïve_1 日本 \U0001f600 <|endoftext|> end", "tab\tin it", "a\r\nb \r\n c", " x   y", "x" * 5000]
+ODD = ["", " ", "\n", "a  b", "a \n b", " a", "\na", "a\n", "a ", "x\n\ny z", "don't  do\x85 it's", "a b c  d", "　x y\x1c z", "!\x1c a", "word, word's (word) Été! naïve_1 日本 \U0001f600 <|endoftext|> end", "tab\tin it", "a\r\nb \r\n c", " x   y", "x" * 5000, "a nul\0 b\0c \0 word, \0"]
 
 
 def ids_of(text):
@@ -106,7 +106,7 @@ def test_spark_lookups(spark, tmp_path):
     want = np.empty(len(ids), np.int64)
     for r in wavelet.token_at(catalog, spark.range(-2, len(ids) + 2).withColumnRenamed("id", "position"), step=64).collect():
         want[r["position"]] = r["token"]
-    # Texts that share doc_id 3 come in the order of their hashes.
+    # Texts that share doc_id 3 come in the order of their rows.
     assert sorted(want.tolist()) == sorted(ids.tolist()) and (want[:60] == ids[:60]).all()
     tokens = [2, int(ids[0]), 49_999]
     assert {r["token"]: r["n"] for r in wavelet.count_of(catalog, tokens).collect()} == {t: int((ids == t).sum()) for t in tokens}

@@ -13,8 +13,9 @@ import numpy as np
 OTHER_WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 #: White space beside a space or a line end: there words cannot be split off without changing ids.
 ODD = re.compile(r"\s[ \n]|[ \n]\s")
-#: A word of Latin letters with ASCII punctuation behind: the pattern makes one piece of each.
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin letters, ASCII punctuation and the rest of each word, words ending in NUL: without a rest, the tokenizer makes one
+#: piece of the letters and one of the punctuation.
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]*)([!-&(-/:-@\[-`{-~]*)([^\0]*)\0")
 #: Words that a worker remembers in each of two generations.
 CACHED = 700_000
 #: Characters that are encoded at a time; longer texts are cut before a space or line end, where words don't depend on each other.
@@ -84,34 +85,42 @@ class WordCache:
         parts = [text[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(text)])]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in self.letters.encode_batch_fast(parts, add_special_tokens=False)])
         at, ids = np.flatnonzero(self.starts[ids]) * 4, ids.tobytes()
-        for w, start, end in zip(words, at.tolist(), [*at[1:].tolist(), len(ids)], strict=True):
-            self.ids[w] = ids[start:end]
+        at = [*at.tolist(), len(ids)]
+        self.ids.update(zip(words, [ids[lo:hi] for lo, hi in zip(at, at[1:])], strict=True))
 
     def learn(self, words: list[str]) -> None:
         """Adds these words, which it lacks."""
-        here, old, latin, other, cores = self.ids, self.old, [], [], set()
-        for w in words:
-            if (ids := old.get(w)) is not None:
-                here[w] = ids
-            elif m := LATIN.fullmatch(w):
-                core, tail = m.groups()
-                if core not in here:
-                    if (ids := old.get(core)) is not None:
-                        here[core] = ids
-                    else:
-                        cores.add(core)
-                if tail:
-                    latin.append((w, core, tail))
+        here, old = self.ids, self.old
+        if old:
+            words, known = [], words
+            for w, ids in zip(known, map(old.get, known)):
+                if ids is None:
+                    words.append(w)
+                else:
+                    here[w] = ids
+        latin, other = [], []
+        if words and "".join(words).find("\0") >= 0:
+            other = [w for w in words if "\0" in w]
+            words = [w for w in words if "\0" not in w]
+        for w, parts in zip(words, LATIN.findall("\0".join(words) + "\0")):
+            if parts[0] and not parts[2]:
+                latin.append((w, *parts[:2]))
             else:
                 other.append(w)
+        cores = set([x[1] for x in latin]).difference(here)
+        if old:
+            again = {w: ids for w, ids in zip(cores, map(old.get, cores)) if ids is not None}
+            here.update(again)
+            cores.difference_update(again)
         if cores:
             self._letters(list(cores))
         for w, core, tail in latin:
-            if (ids := self.tails.get(tail)) is None:
-                ids = self.whole(tail)
-                if len(self.tails) < 10_000:
-                    self.tails[tail] = ids
-            here[w] = here[core] + ids
+            if tail:
+                if (ids := self.tails.get(tail)) is None:
+                    ids = self.whole(tail)
+                    if len(self.tails) < 10_000:
+                        self.tails[tail] = ids
+                here[w] = here[core] + ids
         if other:
             plain = [w if w[:1] == "\n" else f" {w}" for w in other]
             for w, e in zip(other, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
@@ -157,13 +166,10 @@ class WordCache:
             self.old, self.ids = self.ids, {}
         split = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         at, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
-        place, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        place, words = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = [words[i] for i in place[at[:-1]].tolist()]  # these have no space in front
         place[at[:-1]] = np.arange(len(words), len(words) + len(first))
-        used = np.zeros(len(words) + len(first), bool)
-        used[place] = True
-        rest, here = used[: len(words)].tolist(), self.ids
-        parts = [here.get(w) if u else b"" for w, u in zip(words, rest)]
+        parts, here = list(map(self.ids.get, words)), self.ids
         if new := [i for i, x in enumerate(parts) if x is None]:
             self.learn([words[i] for i in new])
             for i in new:

@@ -343,12 +343,11 @@ def write_ids(docs: DataFrame, folder: str, file: str, end_id: int, shard_ids: i
     """Encode all texts and write shard files in ascending doc_id order; returns the catalog: shard, file, first, n_ids.
 
     `first` is the number of ids before the shard. Files are named by range partition and number, so a task that runs
-    again writes the same files again. Ranges are cut by id, text hash and row, so rows that share an id, or have none,
-    are many tasks' work. One number a range partition passes through the driver to turn shard sizes into starts.
+    again writes the same files again. Ranges are cut by id and row, so rows that share an id, or have none, are many tasks' work. One number a range partition passes through the driver to turn shard sizes into starts.
     """
     spark = docs.sparkSession
-    keys = ["doc_id", "hash", "row"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    keys = ["doc_id", "row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     shards = materialize(ranged.mapInPandas(_write(file, folder, end_id, shard_ids), "part long, shard long, n_ids long, file string"), "shards")
     before, total = [], 0
@@ -422,7 +421,7 @@ def encode_and_reread(docs: DataFrame, file: str | None = None, end_id: int = 2,
     """Write ids of all texts to wavelet-matrix shards and return what the files hold for each document.
 
     Defined cases: null text is empty and has only the end id; null doc_ids come first; rows that share a doc_id are
-    each written, in the order of a hash of their texts; an empty table gives no file and no row; other columns are ignored.
+    each written, in the order of their rows; an empty table gives no file and no row; other columns are ignored.
     """
     folder = shared_dir(docs.sparkSession, "wavelet")
     catalog = write_ids(docs, folder, file or tokenizer_file("byte_bpe_50k.json"), end_id, shard_ids)
