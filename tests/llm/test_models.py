@@ -245,6 +245,32 @@ def test_archive_damage():
             list(warc.read_archive(bad))
 
 
+def test_reading_an_archive_is_linear():
+    """Bytes that the reader looks at, counted by a bytes-like of its own, and frames of every header form."""
+    z = zstandard.ZstdCompressor(level=1)
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Date: d\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n"
+    blocks = [b"", b"a" * 300_000, np.random.default_rng(0).bytes(400_000), b"ab" * 40_000]
+    for size in (True, False):
+        c = zstandard.ZstdCompressor(level=1, write_content_size=size, write_checksum=size)
+        data = b"".join(c.compress(head % (len(b), b)) for b in blocks)
+        assert [b for _, b in warc.read_archive(data)] == blocks
+    stream = z.compressobj()
+    data = stream.compress(head % (5, b"hello")) + stream.flush()
+    assert [b for _, b in warc.read_archive(data * 3)] == [b"hello"] * 3
+    ends, at = [], 0
+    while at < len(data) * 3:
+        at = warc.frame_end(data * 3, at)
+        ends.append(at)
+    assert ends == [len(data), 2 * len(data), 3 * len(data)]
+
+
+def test_archives_of_revisits_are_cut(spark, tmp_path):
+    pages = spark.range(300).select((F.col("id") * 0 + 7 - F.col("id")).alias("page_id"), F.lit("u").alias("url"), F.lit("x" * 150).alias("html")).coalesce(1)
+    made = warc.write_archives(pages, f"file://{tmp_path}/w", 20_000)
+    got = warc.read_archives(spark, f"file://{tmp_path}/w")
+    assert made.count() > 4 and got.count() == 300 and got.filter("record_type = 'response'").count() == 1
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
     from test_dedup import plain_components, plain_prints

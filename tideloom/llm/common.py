@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -41,15 +42,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def write_sorted_buckets(df: DataFrame, name: str, keys: list[str], buckets: int, append: bool = False) -> str:
-    """Create table `name`, or append to it, bucketed and sorted by `keys`: merge joins on the keys read it without a shuffle.
+def work_table(spark: SparkSession, name: str) -> str:
+    """Full name of a new table whose files lie in the shared folder and go with it when it is dropped."""
+    base = shared_dir(spark, "tables").rsplit("/", 1)[0]
+    database = f"tideloom_{zlib.crc32(base.encode()):08x}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{base}/tables'")
+    return f"{database}.{name}_{uuid.uuid4().hex[:12]}"
 
-    Returns the folder of a new table.
-    """
-    path = "" if append else shared_dir(df.sparkSession, name)
+
+def table_path(spark: SparkSession, table: str) -> str:
+    return spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"]
+
+
+def write_sorted_buckets(df: DataFrame, table: str, keys: list[str], buckets: int, append: bool = False) -> None:
+    """Create a table, or append to it, bucketed and sorted by `keys`: merge joins on the keys read it without a shuffle."""
     writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
-    (writer.mode("append") if append else writer.option("path", path)).saveAsTable(name)
-    return path
+    writer.mode("append" if append else "errorifexists").saveAsTable(table)
+
+
+def hot_left_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Left join of many `rows` with one `groups` row per key, split as in hot_split_join; keys must not be null in `groups`."""
+    is_hot = F.col(size) * F.lit(HOT_SHARE) >= F.lit(total)
+    hot, cold = groups.filter(is_hot), groups.filter(~is_hot)
+    few = rows.join(F.broadcast(hot), keys)
+    many = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    return few.unionByName(many.select(*few.columns))
 
 
 def hot_split_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:

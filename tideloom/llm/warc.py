@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fraction_for, hot_split_join, in_fraction, materialize, put_bytes, shared_dir
+from .common import hot_left_join, materialize, put_bytes, shared_dir
 
 #: Fixed values of the format: magic numbers of the dictionary's skippable frame and of a Zstandard frame, version line.
 SKIPPABLE, FRAME, VERSION = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd", b"WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload bytes to an archive, from which a new one begins; bound of the dictionary and of the pages it is made from.
+#: Bytes of records to an archive, from which a new one begins; bound of the dictionary and of the pages it is made from.
 ARCHIVE_BYTES, DICT_BYTES, DICT_PAGES = 32_000_000, 32_768, 200
 #: Payloads from this size on are stored once.
 LEAST_SHARED = 100
@@ -26,12 +26,12 @@ class WarcError(ValueError):
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A compression dictionary from a hash sample of about DICT_PAGES pages; empty when they are too few."""
+    """A compression dictionary from the heads (4,096 characters) of DICT_PAGES pages, those of the smallest hashes, so that
+    each run makes the same one; empty when they are too few. Only the size of archives depends on it, no record does."""
     import zstandard
 
-    share = fraction_for(DICT_PAGES, pages.count())
-    sample = pages.filter(in_fraction(F.col("page_id"), share) & F.col("html").isNotNull()).select(F.substring("html", 1, 4096)).limit(4 * DICT_PAGES)
-    samples = [r[0].encode() for r in sample.collect()]
+    some = pages.filter("html IS NOT NULL").orderBy(F.xxhash64("page_id", F.lit("dictionary")), "page_id", F.xxhash64("html")).limit(DICT_PAGES)
+    samples = [r[0].encode() for r in some.select(F.substring("html", 1, 4096)).collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -48,16 +48,46 @@ class ArchiveWriter:
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=data, write_checksum=True, write_content_size=True)
 
-    def add(self, headers: list[tuple[str, str]], block: bytes) -> None:
+    def add(self, headers: list[tuple[str, str]], block: bytes) -> int:
+        """Bytes of the record before compression."""
         lines = [f"{k}: {v}" for k, v in [*headers, ("Content-Length", str(len(block)))]]
-        self.parts.append(self.compressor.compress(VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"))
+        record = VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        self.parts.append(self.compressor.compress(record))
+        return len(record)
 
     def bytes(self) -> bytes:
         return b"".join(self.parts)
 
 
+def frame_end(data: bytes, at: int) -> int:
+    """Where the Zstandard frame that begins at `at` ends, by its header and block headers. Raises WarcError for a torn one.
+
+    A frame is its magic number, a descriptor, optional window, dictionary id and content size, blocks of a 3-byte header
+    (last block, type, size) and an optional checksum.
+    """
+    if data[at : at + 4] != FRAME:
+        raise WarcError(f"no frame at byte {at}")
+    torn = WarcError(f"a torn frame at byte {at}")
+    if at + 5 > len(data):
+        raise torn
+    descriptor = data[at + 4]
+    alone, size = descriptor >> 5 & 1, descriptor >> 6
+    end = at + 5 + (not alone) + (0, 1, 2, 4)[descriptor & 3] + (alone, 2, 4, 8)[size]
+    last = False
+    while not last:
+        if end + 3 > len(data):
+            raise torn
+        block = int.from_bytes(data[end : end + 3], "little")
+        last, kind = block & 1, block >> 1 & 3
+        end += 3 + (1 if kind == 1 else block >> 3)
+    end += 4 * (descriptor >> 2 & 1)
+    if end > len(data):
+        raise torn
+    return end
+
+
 def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-cased names) and block of each record.
+    """Headers (lower-cased names) and block of each record, in time in proportion to the archive.
 
     Raises WarcError for a wrong magic number, a frame that holds no or more than one record, a torn frame, a missing
     header, and a length that the block does not have. A dictionary may itself be a Zstandard frame.
@@ -70,17 +100,15 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise WarcError("a torn dictionary frame")
         raw, at = data[8 : 8 + size], 8 + size
         dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(raw) if raw[:4] == FRAME else raw)
+    one = zstandard.ZstdDecompressor(dict_data=dictionary)
     while at < len(data):
-        if data[at : at + 4] != FRAME:
-            raise WarcError(f"no frame at byte {at}")
-        one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
+        end = frame_end(data, at)
         try:
-            record = one.decompress(memoryview(data)[at:])
+            frame = memoryview(data)[at:end]
+            record = one.decompress(frame) if zstandard.frame_content_size(frame) >= 0 else one.decompressobj().decompress(frame)
         except zstandard.ZstdError as e:
             raise WarcError(f"a broken frame at byte {at}: {e}") from e
-        if not one.eof:
-            raise WarcError(f"a torn frame at byte {at}")
-        at = len(data) - len(one.unused_data)
+        at = end
         yield parse_record(record)
 
 
@@ -134,8 +162,7 @@ def _write(folder: str, dictionary: bytes, archive_bytes: int):
                 if revisit:
                     to = "null" if pd.isna(refers) else str(int(refers))
                     headers += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<urn:page:{to}>")]
-                w.add(headers, http if revisit else http + payload)
-                size += 0 if revisit else len(payload)
+                size += w.add(headers, http if revisit else http + payload)
                 if size >= archive_bytes:
                     yield flush()
         if w.parts[bool(dictionary) :]:
@@ -177,20 +204,20 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write one record per row of `pages` (page_id, url, html); returns name and size of each archive.
 
-    Only digests are grouped; the pages themselves are shuffled once, by row, with what their record shall be.
+    Only digests are grouped; the pages themselves are shuffled once, by digest, but for very common payloads, which stay
+    where they are. So no page_id, null or repeated, gathers rows.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     payload = F.coalesce("html", F.lit(""))
-    keys = materialize(pages.select("page_id", F.octet_length(payload).alias("bytes"), F.sha2(payload, 256).alias("digest")), "payloads")
-    shared = keys.filter(F.col("bytes") >= LEAST_SHARED)
-    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id")).alias("first")
-    groups = materialize(shared.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1"), "payload_groups")
+    keys = pages.select("page_id", F.octet_length(payload).alias("bytes"), F.sha2(payload, 256).alias("digest"))
+    first = F.min("page_id").alias("first")
+    groups = keys.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"))
+    groups = materialize(groups.filter((F.col("bytes") >= LEAST_SHARED) & (F.col("n") > 1)).drop("bytes"), "payload_groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    copies = hot_split_join(shared.select("page_id", "digest"), groups, ["digest"], "n", total)
-    later = copies.filter(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("page_id", "digest", F.col("first.page_id").alias("refers_to"))
-    later = later.filter("page_id IS NOT NULL").distinct().withColumn("revisit", F.lit(True))
-    records = pages.withColumn("digest", F.sha2(payload, 256)).join(later, ["page_id", "digest"], "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
+    told = hot_left_join(pages.withColumn("digest", F.sha2(payload, 256)), groups, ["digest"], "n", total)
+    revisit = F.coalesce(F.col("page_id") != F.col("first"), F.lit(False))
+    records = told.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
     written = records.mapInPandas(_write(folder, train_dictionary(pages), archive_bytes), "archive string, bytes long")
     return materialize(written, "archives")
 
