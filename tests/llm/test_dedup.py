@@ -24,8 +24,9 @@ def docs(spark, rows):
 ODD = [(5, "a  b"), (3, "a b"), (9, "a\tb"), (None, "a b"), (7, None), (8, ""), (4, LONG), (6, LONG + "\n"), (6, LONG + "\n"), (None, "only null"), (2, " a b")]
 
 
-def test_exact_odd_rows(spark):
-    got = exact_dedup.DigestIndex(spark).dedup(docs(spark, ODD)).collect()
+@pytest.mark.parametrize("batches", [1, 3, 20])
+def test_exact_odd_rows(spark, batches):
+    got = exact_dedup.dedup_all(docs(spark, ODD), batches).collect()
     by = defaultdict(list)
     for i, t in ODD:
         by[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
@@ -41,16 +42,52 @@ def test_exact_over_batches(spark):
     index = exact_dedup.DigestIndex(spark)
     first = index.new_only(docs(spark, [(1, "x"), (2, "x "), (3, "y"), (4, "y")]))
     assert sorted(r["doc_id"] for r in first.collect()) == [1, 2, 3] and "n_lines" in first.columns
-    got = {r["doc_id"]: (r["kept"], r["keep_id"]) for r in index.dedup(docs(spark, [(0, "y"), (10, "z"), (11, "z")])).collect()}
-    assert got == {0: (False, 3), 10: (True, 10), 11: (False, 10)}
+    got = {r["doc_id"]: (r["kept"], r["keep_id"], r["group_size"]) for r in index.dedup(docs(spark, [(0, "y"), (10, "z"), (11, "z")])).collect()}
+    assert got == {0: (False, 3, 3), 10: (True, 10, 2), 11: (False, 10, 2)}
     again = exact_dedup.DigestIndex(spark, index.name)
     assert [r["kept"] for r in again.dedup(docs(spark, [(20, "z")])).collect()] == [False]
-    assert index.rows().count() == 4
+    assert index.dedup(docs(spark, [])).count() == 0 and index.rows().count() == 4
+    index.drop()
+    assert index.rows() is None
+
+
+def test_exact_batch_that_is_lost_or_repeated(spark, monkeypatch):
+    """A call that fails before its result is written leaves nothing behind; a batch id gives its first answer again."""
+    index, rows = exact_dedup.DigestIndex(spark), docs(spark, [(1, "x"), (2, "x"), (3, "y")])
+    answer = lambda batch: sorted((r["doc_id"], r["kept"], r["keep_id"], r["group_size"]) for r in index.dedup(rows, batch).collect())
+    want, real = [(1, True, 1, 2), (2, False, 1, 2), (3, True, 3, 1)], exact_dedup.resolved
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(exact_dedup, "resolved", fail)
+    with pytest.raises(RuntimeError):
+        index.dedup(rows, "a")
+    assert index.rows() is None
+    monkeypatch.setattr(exact_dedup, "resolved", real)
+    assert answer("a") == want and answer("a") == want
+    assert [r["kept"] for r in index.dedup(docs(spark, [(9, "x"), (8, "w")]), "b").orderBy("doc_id").collect()] == [True, False]
+    assert answer("a") == want and index.rows().count() == 3
+    index.drop()
+
+
+def test_exact_joins_leave_the_index_where_it_is(spark):
+    index = exact_dedup.DigestIndex(spark)
+    index.dedup(docs(spark, [(1, "x")]), "a")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = exact_dedup.digest_keys(docs(spark, [(2, "y")])).select("digest").join(index.rows().select("digest"), "digest", "left_anti")
+        plan = new._jdf.queryExecution().sparkPlan().toString() + new._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert "SortMergeJoin" in plan and plan.split("SortMergeJoin")[-1].count("Exchange") == 1 and "Bucketed: true" in plan
+    index.drop()
 
 
 def test_empty_tables(spark):
     none = docs(spark, [])
-    assert exact_dedup.DigestIndex(spark).dedup(none).count() == 0
+    assert exact_dedup.DigestIndex(spark).dedup(none).count() == 0 and exact_dedup.dedup_all(none).count() == 0
     assert line_dedup.drop_repeated_lines(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
 
@@ -83,17 +120,29 @@ def test_lines_odd_rows(spark):
     assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in got.collect()), key=repr) == plain_lines(rows)
 
 
-def test_runs_are_compacted_and_know_fresh_lines(spark):
+def test_lines_of_rows_without_an_id_and_repeated_rows(spark):
+    """A third of all rows have no id, a third are one row."""
+    line = "a line that is long enough for a key"
+    rows = [(None, f"{line}\nown line of row number {i:06d}\n{line}") for i in range(40)] + [(5, f"{line}\nx")] * 40 + [(i, line + f"\n{i}") for i in range(20, 60)]
+    got = line_dedup.drop_repeated_lines(docs(spark, rows))
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in got.collect()), key=repr) == plain_lines(rows)
+
+
+def test_runs_are_compacted_and_only_repeats_are_looked_at(spark):
     runs = line_dedup.LineRuns(spark, buckets=2, fan_in=2)
     batch = lambda *x: spark.createDataFrame([(d, h, 0) for d, h in x], "did long, h1 long, h2 long")
+    held = lambda: [sorted(r["h1"] for r in x.collect()) for x in runs.runs()]
     runs.add(batch((1, 1), (2, 1), (2, 2)))
+    assert held() == [[1, 2]] and not runs.deltas
     runs.add(batch((3, 1), (3, 3)))
-    assert [len(x) for x in runs.levels] == [0, 1]
-    runs.add(batch((4, 3)))
-    assert [len(x) for x in runs.levels] == [1, 1]
-    assert {r["h1"]: (r["n_docs"], r["last"]) for r in runs.totals().collect()} == {1: (3, 3), 2: (1, 2), 3: (2, 4)}
-    newest = spark.table(runs.levels[0][0]).collect()
-    assert [(r["h1"], r["fresh"]) for r in newest] == [(3, False)]
+    assert [len(x) for x in runs.levels] == [0, 1] and held() == [[1, 2, 3]]
+    runs.add(batch((4, 3), (5, 4), (6, 4)))
+    assert [len(x) for x in runs.levels] == [1, 1] and held() == [[4], [1, 2, 3]]
+    assert [sorted((r["h1"], r["n_docs"], r["run_docs"]) for r in d.collect()) for d in runs.deltas] == [[(1, 1, 2)], [(3, 1, 1)]]
+    assert {r["h1"]: (r["n_docs"], r["last"]) for r in runs.repeated(2).collect()} == {1: (3, 3), 3: (2, 4), 4: (2, 6)}
+    assert {r["h1"] for r in runs.repeated(3).collect()} == {1}
+    runs.drop()
+    assert runs.runs() == []
 
 
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op8_warc", "op10_exact_dedup"])

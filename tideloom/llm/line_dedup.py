@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_split_join, materialize, shared_dir, shuffle_partitions, write_sorted_buckets
+from .common import HOT_SHARE, hot_left_join, hot_split_join, materialize, shared_dir, shuffle_partitions, table_path, work_table, write_sorted_buckets
 
 #: White space stripped from a line's ends for its key.
 STRIP = b" \t\n\x0b\x0c\r"
 KEYS = ["h1", "h2"]
-RUN = "h1 long, h2 long, n_docs long, last long, fresh boolean"
+RUN = "h1 long, h2 long, n_docs long, last long"
 
 
 def line_keys(text: str, least: int) -> list[bytes | None]:
@@ -39,13 +38,13 @@ def _hashes(keys: list[bytes]):
 def _line_rows(least: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, keys = [], []
-            for i, text in zip(b["did"], b["text"]):
+            keys, n = [], []
+            for text in b["text"]:
                 own = {k for k in line_keys(text or "", least) if k is not None}
                 keys.extend(own)
-                ids.extend([i] * len(own))
+                n.append(len(own))
             h = _hashes(keys)
-            yield pd.DataFrame({"did": pd.Series(ids, dtype="int64"), "h1": h[:, 0], "h2": h[:, 1]})
+            yield pd.DataFrame({"did": b["did"].repeat(n), "hash": b["hash"].repeat(n)}).assign(h1=h[:, 0], h2=h[:, 1])
 
     return rows
 
@@ -78,9 +77,10 @@ def _keep_lines(least: int):
 class LineRuns:
     """Line hashes in sorted runs by level, as a log-structured store.
 
-    `add` pre-aggregates a batch to one row per hash, merge-anti-joins it with the runs to learn which hashes are
-    fresh, and adds it as a run of level 0; `fan_in` runs of a level are merged into one of the next. A run holds per
-    hash the number of its documents and the largest one. Runs are bucketed and sorted alike, so the anti-joins don't shuffle them.
+    `add` pre-aggregates a batch to one row per hash and merge-anti-joins it with the runs, which are bucketed and sorted
+    alike and so are not shuffled: what no run has becomes a run of level 0; what a run has is a delta beside them, with
+    what that run knows. `fan_in` runs of a level are merged into one of the next. So a hash is in one run at most, and
+    only hashes that were seen again, or are common in one batch, need be looked at for their totals.
     A document's lines must come in one batch.
     """
 
@@ -88,14 +88,14 @@ class LineRuns:
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or max(8, shuffle_partitions(spark))
         self.levels: list[list[str]] = [[]]
-        self.paths: dict[str, str] = {}
+        self.deltas: list[DataFrame] = []
 
     def _write(self, df: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        name = f"line_run_{level}_{uuid.uuid4().hex[:12]}"
-        self.paths[name] = write_sorted_buckets(df, name, KEYS, self.buckets)
-        self.levels[level].append(name)
+        table = work_table(self.spark, f"line_run_{level}")
+        write_sorted_buckets(df, table, KEYS, self.buckets)
+        self.levels[level].append(table)
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels for t in level]
@@ -104,61 +104,70 @@ class LineRuns:
         """lines: did, h1, h2, one row per document and hash."""
         stats = lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_docs"), F.max("did").alias("last"))
         if runs := self.runs():
-            stats = materialize(stats, "line_batch")
-            known = [r.select(*KEYS) for r in runs]
-            fresh = reduce(lambda x, r: x.join(r, KEYS, "left_anti"), known, stats)
-            seen = stats.join(fresh.select(*KEYS), KEYS, "left_anti")
-            stats = fresh.withColumn("fresh", F.lit(True)).unionByName(seen.withColumn("fresh", F.lit(False)))
-        else:
-            stats = stats.withColumn("fresh", F.lit(True))
+            stats = materialize(stats.repartition(self.buckets, *KEYS), "line_batch")
+            known = [r.select(*KEYS, F.col("n_docs").alias("run_docs"), F.col("last").alias("run_last")) for r in runs]
+            self.deltas.append(materialize(reduce(DataFrame.unionByName, [stats.join(r, KEYS) for r in known]), "line_again"))
+            stats = reduce(lambda x, r: x.join(r, KEYS, "left_anti"), known, stats)
         self._write(stats, 0)
         level = 0
         while len(self.levels[level]) >= self.fan_in:
-            merged = self._merged(self.levels[level])
             old, self.levels[level] = self.levels[level], []
-            self._write(merged, level + 1)
+            # Read as plain files: Spark takes a union of bucketed scans for co-partitioned, yet puts their partitions one
+            # behind another.
+            self._write(reduce(DataFrame.unionByName, [self.spark.read.schema(RUN).parquet(table_path(self.spark, t)) for t in old]), level + 1)
             for t in old:
                 self.spark.sql(f"DROP TABLE {t}")
             level += 1
 
-    def _merged(self, tables: list[str]) -> DataFrame:
-        # Read as plain files: Spark takes a union of bucketed scans for co-partitioned, yet puts their partitions one
-        # behind another, so that a key would be summed apart.
-        runs = [self.spark.read.schema(RUN).parquet(self.paths[t]) for t in tables]
-        merged = reduce(DataFrame.unionByName, runs).groupBy(*KEYS)
-        return merged.agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+    def repeated(self, least_docs: int) -> DataFrame:
+        """h1, h2, n_docs, last over all batches of the hashes in at least `least_docs` documents."""
+        own = [*KEYS, "n_docs", "last"]
+        common = [r.filter(F.col("n_docs") >= least_docs).select(*own) for r in self.runs()]
+        if not self.deltas:
+            return reduce(DataFrame.unionByName, common)
+        sums = [F.sum("n_docs") + F.max("run_docs"), F.greatest(F.max("last"), F.max("run_last"))]
+        again = materialize(reduce(DataFrame.unionByName, self.deltas).groupBy(*KEYS).agg(*(c.alias(n) for c, n in zip(sums, own[2:]))), "line_totals")
+        only = [c.join(again.select(*KEYS), KEYS, "left_anti") for c in common]
+        return reduce(DataFrame.unionByName, [again.filter(F.col("n_docs") >= least_docs).select(*own), *only])
 
-    def totals(self) -> DataFrame:
-        """h1, h2, n_docs, last, fresh over all batches."""
-        return self._merged([t for level in self.levels for t in level])
+    def drop(self) -> None:
+        """Removes all runs with their files."""
+        for t in (t for level in self.levels for t in level):
+            self.spark.sql(f"DROP TABLE {t}")
+        self.levels = [[]]
 
 
 def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fan_in: int = 3) -> DataFrame:
     """Drop lines whose key is in at least `least_docs` documents, except in the largest doc_id that holds it.
 
     Returns doc_id, kept_text, n_lines, n_dropped, kept_sha256 per row of `docs`, which needs doc_id and text.
-    The documents go into the runs in `batches` batches by a hash of doc_id.
+    The documents go into the runs in `batches` batches by a hash of doc_id. A row meets its dropped lines by doc_id and
+    text hash, so rows without an id are not one task's work; rows that repeat both very often are not shuffled.
 
     Defined cases: null text is one empty line; rows that share a doc_id count as one document; null doc_ids count as
     one document smaller than all others; a document that loses all lines keeps the empty text; other columns are ignored.
     """
     spark = docs.sparkSession
+    if docs.schema["doc_id"].dataType.typeName() == "void":
+        raise TypeError("doc_id needs a type")
     # The smallest long stands in for a null id, so that joins and maxima see it.
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), "text")
-    lines = own.select("did", "text").mapInPandas(_line_rows(least_chars), "did long, h1 long, h2 long")
+    did, hash_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64("text").alias("hash")
+    own = docs.select("doc_id", did, hash_, "text")
+    lines = own.select("did", "hash", "text").mapInPandas(_line_rows(least_chars), "did long, hash long, h1 long, h2 long")
     path = shared_dir(spark, "lines")
     lines.withColumn("batch", F.pmod(F.xxhash64("did"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
-    lines = spark.read.schema("did long, h1 long, h2 long, batch int").parquet(path)
-    if docs.schema["doc_id"].dataType.typeName() == "void":
-        raise TypeError("doc_id needs a type")
+    lines = spark.read.schema("did long, hash long, h1 long, h2 long, batch int").parquet(path)
     store = LineRuns(spark, fan_in=fan_in)
     for k in range(batches):
         store.add(lines.filter(F.col("batch") == k).select("did", *KEYS).distinct())
-    repeated = materialize(store.totals().filter(F.col("n_docs") >= least_docs).select(*KEYS, "n_docs", "last"), "repeated")
-    total = lines.count()
-    held = hot_split_join(lines.select("did", *KEYS), repeated, KEYS, "n_docs", total).filter("did <> last")
-    drop = held.groupBy("did").agg(F.collect_set("h1").alias("drop"))
-    joined = own.join(drop, "did", "left").select("doc_id", "text", "drop")
+    repeated = materialize(store.repeated(least_docs), "repeated")
+    store.drop()
+    held = hot_split_join(lines.select("did", "hash", *KEYS), repeated, KEYS, "n_docs", lines.count()).filter("did <> last")
+    drop = held.groupBy("did", "hash").agg(F.collect_set("h1").alias("drop"))
+    # Copies of a row are seen by how often its id and text come, which few do more than once.
+    often = own.groupBy("did", "hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    drop = materialize(drop.join(often, ["did", "hash"], "left").withColumn("rows", F.coalesce("rows", F.lit(1))), "line_drops")
+    joined = hot_left_join(own, drop, ["did", "hash"], "rows", max(HOT_SHARE * 2, docs.count())).select("doc_id", "text", "drop")
     return joined.mapInPandas(_keep_lines(least_chars), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
 
 
