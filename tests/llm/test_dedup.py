@@ -220,6 +220,36 @@ def test_any_allocation_finds_all_links(spark, thresholds, monkeypatch):
     assert [roots.get(int(x), int(x)) for x in signed[order]] == want
 
 
+@pytest.mark.parametrize("n", [400, 3200])
+def test_units_of_a_large_key_do_not_grow(spark, monkeypatch, n):
+    """All fingerprints share a key: no unit has more than a few blocks' rows, and all are linked."""
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    fp = np.arange(n, dtype=np.int64)
+    bits = list(range(64))
+    plan = simhash.Plan((tuple(bits[32:]), tuple(bits[:32])), (0, 2), 3)
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": fp}))
+    real = simhash.forest
+
+    def seen(group, *rest):
+        assert np.bincount(group).max(initial=0) < 64 * 4
+        return real(group, *rest)
+
+    monkeypatch.setattr(simhash, "_links", lambda distance, f=simhash._links, g=seen: _with(f, g, distance))
+    roots = {r["root"] for r in connected_components(simhash.links(nodes, plan)).collect()}
+    assert roots == {0}
+
+
+def _with(links, forest, distance):
+    def rows(batches):
+        old, simhash.forest = simhash.forest, forest
+        try:
+            yield from links(distance)(batches)
+        finally:
+            simhash.forest = old
+
+    return rows
+
+
 def test_plan_is_sound(spark):
     fp = np.random.default_rng(5).integers(0, 1 << 63, 3000, dtype=np.int64)
     plan = simhash.make_plan(spark.createDataFrame(pd.DataFrame({"fp": fp})), 3)

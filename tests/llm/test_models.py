@@ -60,6 +60,37 @@ def test_forward_sums_all_segmentations():
     assert np.abs(counts - want).max() < 1e-9
 
 
+def test_long_words_are_scored_whole(monkeypatch):
+    """A word of any length: the sum over segmentations that cross any place, against a plain log-space forward pass."""
+    probs = np.random.default_rng(0).dirichlet(np.ones(len(VOCAB.pieces)) * 0.05, 3) + 1e-12
+    index = {p.encode(): i for i, p in enumerate(VOCAB.pieces) if p.encode() in BY_BYTES}
+    longest = max(map(len, index))
+
+    def plain(word, p):
+        raw, out = ("▁" + word).encode(), [0.0]
+        for e in range(1, len(raw) + 1):
+            at = [out[s] + math.log(p[index[raw[s:e]]]) for s in range(max(0, e - longest), e) if raw[s:e] in index]
+            out.append(np.logaddexp.reduce([*at, out[e - 1] + math.log(p[int(VOCAB.byte_ids[raw[e - 1]])])]))
+        return out[-1] + len(raw) * math.log(langid.LIFT)
+
+    words = ["donaudampfschifffahrtsgesellschaft" * 3, "a" * 23, "b" * 24, "ñandú" * 400, "the", "x" * 5000]
+    monkeypatch.setattr(langid, "CELLS", 3000)
+    got = langid.log_likelihood(VOCAB, words, probs)
+    assert np.isfinite(got).all() and np.allclose(got, [[plain(w, p) for p in probs] for w in words], rtol=1e-9)
+    counts = langid.expected_counts(VOCAB, words, np.full(len(words), 2.0), probs[0])
+    sizes = np.array([len(VOCAB.pieces[i].encode()) if i not in VOCAB.byte_ids else 1 for i in range(len(VOCAB.pieces))])
+    assert abs(counts @ sizes - 2 * sum(len(("▁" + w).encode()) for w in words)) < 1e-4
+    scorer = langid.Scorer(PIECES, probs)
+    assert np.allclose(scorer.scores([" ".join(words)])[0], got.sum(0))
+    assert not any(len(w) > langid.SHORT for w in scorer.place)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame([(i, "a", c) for i, c in enumerate("xyz")], "doc_id long, text string, lang string"))
+
+
 def test_language_held_out(spark):
     got = QUERIES["op5_language_id"](spark, BIGGER).toPandas().merge(pd.read_parquet(f"{BIGGER}/documents.parquet"), on="doc_id")
     held = got[got["held_out"] & got["lang"].notna()]

@@ -21,74 +21,107 @@ WORDS = re.compile(r"[^\W\d_]+")
 TRAIN_DOCS = 2_000
 #: Rounds of expectation maximisation, and what each piece gets besides its expected count.
 ROUNDS, SMOOTH = 3, 0.05
-#: Factor a byte keeps products of small probabilities within doubles; it cancels out between languages.
-LIFT = 256.0
-#: Longer words are cut, each part a word.
-MOST_CHARS = 24
-CACHED = 200_000
+#: Factor a byte keeps products of small probabilities within doubles; it cancels out between languages. Steps after which
+#: sums are scaled, so that words of any length stay within them, too.
+LIFT, RESCALE = 256.0, 16
+#: Words that a worker remembers, of at most so many characters; cells of a matrix of words.
+CACHED, SHORT, CELLS = 200_000, 64, 1 << 19
+#: Languages that a model may have: its size is their number times that of the vocabulary, and it is broadcast.
+MOST_LANGS = 256
 
 
 def words_of(text: str) -> list[str]:
     words = WORDS.findall(text.lower())
     if not all(map(str.isalpha, words)):  # numerals that are not digits
         words = [w for w in ("".join(filter(str.isalpha, w)) for w in words) if w]
-    if any(len(w) > MOST_CHARS for w in words):
-        words = [w[k : k + MOST_CHARS] for w in words for k in range(0, len(w), MOST_CHARS)]
     return words
 
 
-def _edges(vocab: Vocabulary, codes: np.ndarray):
-    """(start, end, rows, pieces) of all pieces in all words, bytes included, by start."""
+def _edges_from(vocab: Vocabulary, codes: np.ndarray, s: int):
+    """(end, rows, pieces) of all pieces that begin at s in all words, bytes included."""
+    rows = np.flatnonzero(codes[:, s] > 0)
+    if not len(rows):
+        return
+    single = vocab.byte_ids[codes[rows, s] - 1]
+    if not np.all(single >= 0):  # a vocabulary without bytes: one unknown piece stands for each
+        single = np.where(single >= 0, single, vocab.unknown)
+    yield s + 1, rows, single
+    for end, at, ids in walk(vocab.trie, codes, rows, s):
+        yield end, rows[at], ids
+
+
+def _blocks(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of words of about one length, their bytes as a matrix, their lengths; a matrix has CELLS cells, or one word."""
+    coded = [(MARK + w).encode("utf-8", "surrogatepass") for w in words]
+    order, lo = np.argsort([len(w) for w in coded], kind="stable"), 0
+    while lo < len(order):
+        hi = min(len(order), lo + 4096)
+        while hi > lo + 1 and (hi - lo) * len(coded[order[hi - 1]]) > CELLS:
+            hi = lo + (hi - lo) // 2
+        yield (order[lo:hi], *matrix([coded[i] for i in order[lo:hi]]))
+        lo = hi
+
+
+def _forward(vocab: Vocabulary, codes: np.ndarray, lengths: np.ndarray, by_piece: np.ndarray, alpha: np.ndarray):
+    """Forward sums, step by step: yields s when column s of the window `alpha` (column s modulo its width) is complete, with
+    the log by which each row and language has been scaled so far. Scaled every few steps, so no sum vanishes.
+
+    A word's own sums are complete at its length. The window is as wide as the longest piece.
+    """
+    width, scale = alpha.shape[1], np.zeros((len(codes), alpha.shape[2]))
+    alpha[:, 0] = 1
     for s in range(codes.shape[1]):
-        rows = np.flatnonzero(codes[:, s] > 0)
-        if not len(rows):
-            return
-        single = vocab.byte_ids[codes[rows, s] - 1]
-        if not np.all(single >= 0):  # a vocabulary without bytes: one unknown piece stands for each
-            single = np.where(single >= 0, single, vocab.unknown)
-        yield s, s + 1, rows, single
-        for end, at, ids in walk(vocab.trie, codes, rows, s):
-            yield s, end, rows[at], ids
+        if s and s % RESCALE == 0:
+            top = alpha.max(1)
+            top = np.where(top > 0, top, 1)
+            alpha /= top[:, None]
+            scale += np.log(top)
+        yield s, scale
+        own = alpha[:, s % width].copy()
+        alpha[:, s % width] = 0
+        for end, rows, ids in _edges_from(vocab, codes, s):
+            alpha[rows, end % width] += own[rows] * by_piece[ids] * LIFT ** (end - s)
 
 
 def log_likelihood(vocab: Vocabulary, words: list[str], probs: np.ndarray) -> np.ndarray:
-    """Log of the summed probability of all segmentations, lifted, for each word and language. probs: languages x pieces."""
-    coded = [(MARK + w).encode("utf-8", "surrogatepass") for w in words]
-    out = np.empty((len(words), len(probs)))
-    order = np.argsort([len(w) for w in coded], kind="stable")
-    by_piece = np.ascontiguousarray(probs.T)
-    for lo in range(0, len(order), 4096):
-        some = order[lo : lo + 4096]
-        codes, lengths = matrix([coded[i] for i in some])
-        alpha = np.zeros((len(some), codes.shape[1] + 1, len(probs)))
-        alpha[:, 0] = 1
-        for s, end, rows, ids in _edges(vocab, codes):
-            alpha[rows, end] += alpha[rows, s] * by_piece[ids] * LIFT ** (end - s)
-        out[some] = np.log(np.maximum(alpha[np.arange(len(some)), lengths], 1e-300))
+    """Log of the summed probability of all segmentations, lifted, for each whole word and language. probs: languages x pieces."""
+    out, by_piece, width = np.empty((len(words), len(probs))), np.ascontiguousarray(probs.T), vocab.longest + 1
+    for some, codes, lengths in _blocks(words):
+        alpha = np.zeros((len(some), min(width, codes.shape[1]), len(probs)))
+        for s, scale in _forward(vocab, codes, lengths, by_piece, alpha):
+            rows = np.flatnonzero(lengths == s)
+            if len(rows):
+                out[some[rows]] = np.log(alpha[rows, s % alpha.shape[1]]) + scale[rows]
     return out
 
 
 def expected_counts(vocab: Vocabulary, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of weighted words of one language: forward and backward sums."""
-    counts = np.zeros(len(probs))
-    coded = [(MARK + w).encode("utf-8", "surrogatepass") for w in words]
-    order = np.argsort([len(w) for w in coded], kind="stable")
-    for lo in range(0, len(order), 4096):
-        some = order[lo : lo + 4096]
-        codes, lengths = matrix([coded[i] for i in some])
-        edges = list(_edges(vocab, codes))
-        p = [probs[ids] * LIFT ** (e - s) for s, e, _, ids in edges]
-        alpha = np.zeros((len(some), codes.shape[1] + 1))
-        alpha[:, 0] = 1
-        for (s, e, rows, _), q in zip(edges, p):
-            alpha[rows, e] += alpha[rows, s] * q
-        beta = np.zeros_like(alpha)
-        beta[np.arange(len(some)), lengths] = 1
-        for (s, e, rows, _), q in zip(edges[::-1], p[::-1]):
-            beta[rows, s] += q * beta[rows, e]
-        share = weights[some] / np.maximum(alpha[np.arange(len(some)), lengths], 1e-300)
-        for (s, e, rows, ids), q in zip(edges, p):
-            counts += np.bincount(ids, alpha[rows, s] * q * beta[rows, e] * share[rows], len(counts))
+    counts, width, by_piece = np.zeros(len(probs)), vocab.longest + 1, np.ascontiguousarray(probs[:, None])
+    for some, codes, lengths in _blocks(words):
+        n, steps = codes.shape
+        window = np.zeros((n, min(width, steps), 1))
+        alpha, scales, total = np.zeros((n, steps)), np.zeros((n, steps)), np.zeros(n)
+        for s, scale in _forward(vocab, codes, lengths, by_piece, window):
+            alpha[:, s], scales[:, s] = window[:, s % window.shape[1], 0], scale[:, 0]
+            rows = np.flatnonzero(lengths == s)
+            total[rows] = np.log(alpha[rows, s]) + scales[rows, s]
+        beta, behind = np.zeros((n, min(width, steps))), np.zeros(n)
+        width_ = beta.shape[1]
+        for s in range(steps - 1, -1, -1):
+            if s % RESCALE == 0:
+                top = beta.max(1)
+                top = np.where(top > 0, top, 1)
+                beta /= top[:, None]
+                behind += np.log(top)
+            own = (lengths == s).astype(float)
+            edges = [(rows, ids, probs[ids] * LIFT ** (end - s), end) for end, rows, ids in _edges_from(vocab, codes, s)]
+            for rows, _, q, end in edges:
+                own[rows] += q * beta[rows, end % width_]
+            share = weights[some] * alpha[:, s] * np.exp(np.minimum(scales[:, s] + behind - total, 700))
+            for rows, ids, q, end in edges:
+                counts += np.bincount(ids, share[rows] * q * beta[rows, end % width_], len(counts))
+            beta[:, s % width_] = own
     return counts
 
 
@@ -123,8 +156,10 @@ def train(docs: DataFrame, file: str | None = None, train_docs: int = TRAIN_DOCS
     """
     file = file or tokenizer_file("piece_bpe_32k.model")
     docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
     langs = sorted(sizes)
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} languages, more than the {MOST_LANGS} that a model may have")
     if not langs:
         return [], np.zeros((0, 0))
     share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, fraction_for(train_docs, sizes[lang]))))
@@ -157,15 +192,19 @@ class Scorer:
             words = [words_of(t) for t in texts[lo : lo + 64]]
             if len(self.place) > CACHED:
                 self.place, self.table = {}, self.table[:0]
-            new = list(set().union(*words).difference(self.place))
-            if new:
-                self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-                at = len(self.place)
-                if at > len(self.table):
-                    self.table = np.concatenate([self.table, np.empty((at, len(self.probs)))])
-                self.table[at - len(new) : at] = log_likelihood(self.vocab, new, self.probs)
+            distinct = set().union(*words)
+            new = [w for w in distinct.difference(self.place) if len(w) <= SHORT]
+            at = len(self.place)
+            self.place.update(zip(new, range(at, at + len(new))))
+            if at + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty((at + len(new), len(self.probs)))])
+            self.table[at : at + len(new)] = log_likelihood(self.vocab, new, self.probs)
+            # Very long words are scored with the rest but not remembered.
+            far = [w for w in distinct if len(w) > SHORT]
+            scored = dict(zip(far, log_likelihood(self.vocab, far, self.probs)))
             for w in words:
-                out.append(self.table[np.fromiter(map(self.place.__getitem__, w), np.int64, len(w))].sum(0) if w else None)
+                x = self.table[np.fromiter((self.place[v] for v in w if len(v) <= SHORT), np.int64)].sum(0) if far else self.table[np.fromiter(map(self.place.__getitem__, w), np.int64, len(w))].sum(0)
+                out.append(x + sum(scored[v] for v in w if len(v) > SHORT) if w else None)
         return out
 
 

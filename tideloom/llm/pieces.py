@@ -111,6 +111,7 @@ class Vocabulary:
         #: Score of a character that no piece covers, spelt in bytes: below every piece, as unigram encoders have it.
         self.unknown_score = float(self.scores[own].min() - 10) if len(own) else -10.0
         self.trie = DoubleArrayTrie(normal)
+        self.longest = max(map(len, normal), default=1)
         self.crosses = any(MARK in p[1:] and p.strip(MARK) for p in (k.decode() for k in normal) if MARK in p.lstrip(MARK))
         self.lines = any(b"\n" in k and len(k) > 1 for k in normal)
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_split_join, materialize
+from .common import hot_left_join, hot_split_join, materialize
 from .components import connected_components
 
 BITS = 64
@@ -20,8 +20,8 @@ BITS = 64
 ESTIMATE_BITS = 12
 #: Partitions that plans are made for.
 SCHEMES = (2, 3, 4)
-#: Rows of a key that make a block, and share of all rows from which a larger key is cut: at most HOT_KEYS keys.
-BLOCK, HOT_KEYS = 1024, 32_768
+#: Rows of a key that make a block; larger keys are cut.
+BLOCK = 2048
 #: Time to write and sort a probe against that to compare two fingerprints.
 PROBE_COST = 50.0
 
@@ -280,16 +280,15 @@ def _links(distance: int):
 def links(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Edges (hi, lo) between distinct fingerprints that connect whatever links within plan.distance connect.
 
-    Fingerprints meet under the keys that the plan gives them. A key with more than BLOCK rows and 1/HOT_KEYS of all
-    rows is cut into blocks, each pair of which is a unit of work; no pair is skipped, none is written out.
+    Fingerprints meet under the keys that the plan gives them. A key with more than BLOCK rows is cut into blocks of about
+    that size, each pair of which is a unit of work: however large the input or a key, a unit has about 2 * BLOCK rows.
+    No pair is skipped, none is written out.
     """
     keys = materialize(nodes.select("fp").mapInPandas(_signatures(plan), "part int, key long, fp long"), "signatures")
-    sizes = keys.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = materialize(sizes, "signature_sizes")
-    least = max(BLOCK, (sizes.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    hot = sizes.filter(F.col("n") > least).select("part", "key", F.ceil(F.col("n") / least).cast("int").alias("blocks"))
-    # At most HOT_KEYS keys can be that large.
-    cut = keys.join(F.broadcast(hot), ["part", "key"], "left")
+    sizes = keys.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    sizes = materialize(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "signature_sizes")
+    # Keys that are cut are as many as the input makes them: only very common ones are broadcast, the others joined.
+    cut = hot_left_join(keys, sizes, ["part", "key"], "n", keys.count()) if not sizes.isEmpty() else keys.withColumn("blocks", F.lit(1))
     block = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
     units = cut.select("part", "key", "fp", block.alias("block"), other.alias("other"))
