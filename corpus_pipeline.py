@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm.common import materialize
-from tideloom.llm.exact_dedup import DigestIndex
+from tideloom.llm.common import HOT_SHARE, materialize
+from tideloom.llm.exact_dedup import dedup_all
 from tideloom.llm.langid import crc_mod
 from tideloom.llm.langid import prediction as language_of
 from tideloom.llm.langid import train as train_language
@@ -27,9 +27,15 @@ GOOD = 0.3
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (doc_id), nulls alike."""
-    few = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(few, docs["doc_id"].eqNullSafe(few["__id"]), "left_semi")
+    """Rows of docs whose doc_id is in ids (doc_id), nulls alike. Ids of very many rows, null among them, are broadcast with
+    what becomes of them, so that their rows stay where they are."""
+    few = ids.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__stays")).distinct()
+    counts = docs.groupBy(F.col("doc_id").alias("__own")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    hot = counts.filter(F.col("n") * HOT_SHARE >= docs.count())
+    hot = materialize(hot.join(few, hot["__own"].eqNullSafe(few["__id"]), "left").select("__own", F.coalesce("__stays", F.lit(False)).alias("__stays")), "hot_ids")
+    often = docs.join(F.broadcast(hot.filter("__stays")), docs["doc_id"].eqNullSafe(hot["__own"]), "left_semi")
+    rest = docs.join(F.broadcast(hot), docs["doc_id"].eqNullSafe(hot["__own"]), "left_anti")
+    return often.unionByName(rest.join(few, rest["doc_id"].eqNullSafe(few["__id"]), "left_semi"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each text."""
     ship(spark)
-    return _keep(docs, DigestIndex(spark).dedup(docs).filter("kept"))
+    return _keep(docs, dedup_all(docs).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
