@@ -188,32 +188,44 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(v.filter("false"), v, 5).count() == 0 and ann.search(v.filter("vec_id = 101"), v, 5).count() == 0
 
 
-def test_copies_in_a_block_leave_smallest_ids_and_room():
-    """All have one code: 150 copies and 70 others, nearer or farther, which copies must not crowd out; then 256 vectors of one score."""
-    k, ones, rng = 20, np.ones(8), np.random.default_rng(5)
-    model = ann.Model(np.zeros((1, 8), np.float32), np.ones((8, 1, 1), np.float32), 1)
-    signs = np.stack([rng.permutation([0.5] * 4 + [-0.5] * 4) * m for m in 2.0 ** -np.arange(256).clip(0, 30)]) + ones
-    for x in (np.concatenate([np.ones((150, 8)), ones + np.arange(-60, 10)[:, None] / 100]), signs):
-        ids = rng.permutation(len(x))
-        left = pd.DataFrame({"list": 0, "vec_id": ids, "code": [bytes(8)] * len(x), "vec": [v.tobytes() for v in x]})
-        right = pd.DataFrame({"query_id": [1000], "vec": [ones.tobytes()], "floor": [-np.inf]})
-        got = ann._search(SimpleNamespace(value=model), k, ann.Settings())(left, right)
-        assert got["vec_id"].tolist() == [i for _, i in sorted(zip(-(x @ ones), ids))[:k]]
-
-
-def test_lists_to_visit_are_measured_all_over_the_sample():
-    """The first ids are in one tight cluster, whose neighbours one list holds; all others are scattered."""
-    rng, s = np.random.default_rng(3), ann.Settings(measured=200, first=1)
-    tight = np.array([40.0] + [0.0] * 15) + rng.normal(0, 0.01, (220, 16))
-    assert ann.fit(np.concatenate([tight, rng.normal(0, 1, (3800, 16))]), 4020, s).probe > 5
+def test_quantised_candidates_leave_smallest_ids():
+    """All have one code: of candidates that tie the smallest ids are sent on, in the lists that a query visits, without itself."""
+    rng = np.random.default_rng(5)
+    model = ann.Model(np.zeros((2, 8), np.float32), np.zeros(2, int), np.ones((8, 1, 1), np.float32), 1)
+    ids = rng.permutation(300)
+    left = pd.DataFrame({"list": ids % 2, "vec_id": ids, "row": ids + 1000, "code": [bytes(8)] * 300})
+    right = pd.DataFrame({"query": [1, 2, 3], "query_id": [4, 7, 9], "lists": [[0], [0, 1], [0, 1]], "embedding": [np.ones(8)] * 3, "floor": [-np.inf, -np.inf, 9.0]})
+    got = ann._search(SimpleNamespace(value=model), ann.Settings(rerank=20))(left, right)
+    own = {q: x["vec_id"].tolist() for q, x in got.groupby("query")}
+    assert own == {1: [i for i in range(0, 42, 2) if i != 4], 2: [i for i in range(21) if i != 7]} and (got["row"] == got["vec_id"] + 1000).all()
+
+
+def test_lists_to_visit_are_measured_over_all_rows(spark):
+    """Half of the rows are in tight clusters, whose neighbours one list holds; the others are scattered."""
+    rng = np.random.default_rng(3)
+    tight = rng.normal(0, 10, (10, 16)).repeat(60, 0) + rng.normal(0, 0.01, (600, 16))
+    for x, least, most in ((tight, 1, 6), (rng.normal(0, 1, (600, 16)), 7, 24)):
+        v = spark.createDataFrame(pd.DataFrame({"vec_id": range(600), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+        model = ann.fit(v, 600, ann.Settings())
+        sent = spark.sparkContext.broadcast(model)
+        index = v.withColumn("row", F.col("vec_id")).mapInPandas(ann._index(sent), ann.INDEX)
+        assert len(model.centroids) == 24 and least <= ann.lists_to_visit(index, sent, 20, ann.Settings()) <= most
 
 
 def test_sample_of_vectors_of_which_few_are_usable(spark):
-    zero = spark.range(12_000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.0), F.lit(0.0)).alias("embedding"))
-    few = spark.createDataFrame([(20_000 + i, [1.0, i / 8]) for i in range(3)], "vec_id long, embedding array<double>")
+    zero = spark.range(40_000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.0), F.lit(0.0)).alias("embedding"))
+    few = spark.createDataFrame([(50_000 + i, [1.0, i / 8]) for i in range(3)], "vec_id long, embedding array<double>")
     v = zero.unionByName(few)
-    got = ann.search(v, few, 5, ann.Settings(fit_rows=1)).collect()
-    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(20000 + q, r, 20000 + i) for q, own in ((0, (1, 2)), (1, (2, 0)), (2, (1, 0))) for r, i in enumerate(own, 1)]
+    for s in (ann.Settings(), ann.Settings(least_sample=1, list_sample=1, book_rows=1, measured=1)):
+        got = ann.search(v, few, 5, s).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(50000 + q, r, 50000 + i) for q, own in ((0, (1, 2)), (1, (2, 0)), (2, (1, 0))) for r, i in enumerate(own, 1)]
+
+
+def test_neighbours_with_repeated_ids(spark):
+    """More than k + 1 rows of one id and vector, then copies of that vector with other ids."""
+    v = spark.createDataFrame([(20, [1.0, 0.0])] * 30 + [(21 + i, [1.0, 0.0]) for i in range(30)] + [(5, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    got = ann.search(v, v.filter("vec_id = 20").limit(1), 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [21, 22, 23, 24, 25]
 
 
 PAGES = "page_id long, url string, html string, digest string, revisit int, n int"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_left_join, materialize, put_bytes, shared_dir
+from .common import fraction_for, hot_left_join, in_fraction, materialize, put_bytes, shared_dir
 
 #: Fixed values of the format: magic numbers of the dictionary's skippable frame and of a Zstandard frame, version line.
 SKIPPABLE, FRAME, VERSION = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd", b"WARC/1.1"
@@ -26,12 +26,14 @@ class WarcError(ValueError):
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A compression dictionary from the heads (4,096 characters) of DICT_PAGES pages, those of the smallest hashes, so that
-    each run makes the same one; empty when they are too few. Only the size of archives depends on it, no record does."""
+    """A compression dictionary from the heads (4,096 characters) of DICT_PAGES pages at most, which a hash of their place
+    in the table chooses; empty when they are too few. Only the size of archives depends on it, no record does."""
     import zstandard
 
-    some = pages.filter("html IS NOT NULL").orderBy(F.xxhash64("page_id", F.lit("dictionary")), "page_id", F.xxhash64("html")).limit(DICT_PAGES)
-    samples = [r[0].encode() for r in some.select(F.substring("html", 1, 4096)).collect()]
+    # Chosen by row, so that neither copies nor repeated ids make the sample larger.
+    share = in_fraction(F.monotonically_increasing_id(), fraction_for(2 * DICT_PAGES, pages.count()))
+    some = pages.filter("html IS NOT NULL").select("page_id", F.substring("html", 1, 4096).alias("head")).filter(share)
+    samples = [r["head"].encode() for r in some.orderBy(F.xxhash64("page_id"), "page_id", "head").limit(DICT_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
