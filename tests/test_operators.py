@@ -197,6 +197,69 @@ def test_next_times(spark):
     assert got[3] == (now, now) and got[4] == (datetime(2024, 1, 1, 12, 1), now)
 
 
+def test_planning_by_type(spark):
+    """A firing of each type; missed ones collapse; one out of its validity, a disabled one, a bad cron and an unknown type have none."""
+    now, at = "2024-01-01 12:00:00", lambda h, m=0, s=0: datetime(2024, 1, 1, h, m, s)
+    schema = "schedule_id long, schedule_type string, start_time timestamp_ntz, end_time timestamp_ntz, schedule_delay long, schedule_interval long, schedule_cron string, last_trigger_at timestamp_ntz, last_feedback_at timestamp_ntz, next_trigger_at timestamp_ntz, is_enabled boolean"
+    day, far = datetime(2024, 1, 1), datetime(2025, 1, 1)
+    rows = [
+        (1, "fixed_rate", day, far, 0, 240, None, at(11), None, at(11, 4), True), (2, "fixed_delay", day, far, 0, 60, None, at(11), at(11, 30), at(12, 2), True),
+        (3, "cron", day, far, 0, None, "0 0/4 * * * ?", at(11, 59), None, at(12, 1), True), (4, "fixed_rate", day, at(12, 3), 0, 120, None, None, None, at(12), True),
+        (5, "fixed_rate", at(13), far, 0, 60, None, None, None, at(12), True), (6, "fixed_rate", day, far, 0, 60, None, None, None, at(12), False),
+        (7, "cron", day, far, 0, None, "bad", None, None, None, True), (8, "other", day, far, 0, 1, None, None, None, None, True), (9, "fixed_delay", day, far, 0, 60, None, at(11), None, at(11, 1), True),
+    ]
+    s = spark.createDataFrame(rows, schema)
+    planned = J.plan_firings(s, now)
+    got = {r[0]: ([f.minute for f in r["firings"]], r["last_trigger_at"], r["next_trigger_at"]) for r in planned.collect()}
+    assert got == {
+        1: ([0, 4, 8], at(12, 8), at(12, 12)), 2: ([2], at(12, 2), None), 3: ([1, 4, 8], at(12, 8), at(12, 12)), 4: ([0, 2], at(12, 2), at(12, 4)), 5: ([], None, at(12)),
+        7: ([], None, None), 8: ([], None, None), 9: ([0], at(12), None),
+    }
+    after = {r["schedule_id"]: (r["last_trigger_at"], r["next_trigger_at"]) for r in J.carried(s, planned).collect()}
+    assert after[3] == (at(12, 8), at(12, 12)) and after[6] == (None, at(12)) and len(after) == 9
+    fed = J.feedback(s, spark.createDataFrame([(2, at(12, 5)), (2, at(12, 3))], "schedule_id long, end_at timestamp_ntz"))
+    assert {r["schedule_id"]: r["last_feedback_at"] for r in fed.collect()}[2] == at(12, 5)
+    again = {r["schedule_id"]: r["next_at"] for r in J.next_trigger(fed.filter("schedule_id = 2"), "2024-01-01 12:05:30").collect()}
+    assert again == {2: at(12, 6)}
+    old = s.withColumn("fingerprint", F.lit("a"))
+    firings = spark.createDataFrame([("x", 1, at(12), "init"), ("y", 1, at(12), "running"), ("z", 3, at(12), "init")], "delay_id string, schedule_id long, trigger_at timestamp_ntz, status string")
+    schedules, left = J.save(old, old.withColumn("fingerprint", F.when(F.col("schedule_id") == 1, "b").otherwise("a")), firings, now)
+    assert sorted((r["schedule_id"], r["trigger_at"].minute, r["status"]) for r in left.collect()) == [(1, 0, "init"), (1, 0, "running"), (1, 4, "init"), (1, 8, "init"), (3, 0, "init")] and schedules.count() == 9
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    """One file a batch: windows, last heartbeats and states have one row a key, the last one."""
+    from tideloom.streaming import liveness as N
+
+    log = [(1, i, ("dispatch_success", "start", "run_success")[i], datetime(2024, 1, 1, 0, 0, 4 * i)) for i in range(3)]
+    for i, row in enumerate(log):
+        spark.createDataFrame([row, (2, 10 + i, "report", row[3])], "job_id long, event_id long, event string, at timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    like = spark.read.parquet(f"{tmp_path}/in/*")
+
+    def stream():
+        return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+
+    states = N.drain(N.report_states(stream()), f"{tmp_path}/states", "update", ["job_id"])
+    assert sorted(tuple(r) for r in states.collect()) == [(1, "succeed", 3), (2, "inited", 0)]
+    beats = lambda: stream().select(F.col("job_id").alias("node_id"), "at")
+    windows = N.drain(N.online_windows(beats()), f"{tmp_path}/windows", "update", ["node_id", "start"])
+    assert sorted((r["node_id"], r["start"].second, r["beats"]) for r in windows.collect()) == [(1, 0, 3), (2, 0, 3)]
+    seen = N.drain(N.last_seen(beats()), f"{tmp_path}/seen", "update", ["node_id"])
+    assert sorted((r["node_id"], r["last_at"].second, r["beats"]) for r in seen.collect()) == [(1, 8, 3), (2, 8, 3)]
+
+
+def test_executions_and_retries(spark):
+    e = spark.createDataFrame([(1, "inited", None, None), (2, "running", None, None), (3, "running", None, None), (4, "failed", None, None)], "id int, status string, start_at timestamp_ntz, end_at timestamp_ntz")
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    assert [(r["status"], r["start_at"] is not None) for r in I.start_executions(e, at).orderBy("id").collect()] == [("running", True), ("running", False), ("running", False), ("failed", False)]
+    ok = F.when(F.col("id") == 2, F.lit(True)).when(F.col("id").isin(1, 4), F.lit(False))
+    assert [(r["status"], r["end_at"] is not None) for r in I.finish_executions(e, ok, at).orderBy("id").collect()] == [("inited", False), ("succeed", True), ("running", False), ("failed", False)]
+    jobs = spark.createDataFrame([("failed", 0), ("failed", 3), ("failed", None), ("succeed", 0)], "status string, retry_times int")
+    assert [tuple(r) for r in I.after_failure(jobs, F.lit(1)).collect()] == [("inited", 1, True), ("failed", 3, False), ("failed", None, False), ("succeed", 0, False)]
+    tasks = spark.createDataFrame([(1, "w")], "task int, worker string")
+    assert I.own_reports(spark.createDataFrame([(1, "w", "start"), (1, "v", "start"), (2, "w", "start")], "task int, worker string, event string"), tasks, ["task"], "worker").count() == 1
+
+
 def test_versions_are_numbers(spark):
     v = spark.createDataFrame([("r", "t", "9"), ("r", "t", "10"), ("r", "t", None)], "ref_id string, ref_type string, version string")
     assert tuple(D.latest_version(v).first())[2:] == (10, 11)

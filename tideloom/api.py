@@ -6,23 +6,23 @@ Headers are (id, name, description, publish_version, draft_version, is_enabled,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import filters, joins, scans, transitions
+from .operators import filters, joins, scans, temporal, transitions
 from .operators.aggregates import latest_version
 from .operators.scans import PAGE
+from .sources.files import next_ids
 
 HEADER = "id long, name string, description string, publish_version string, draft_version string, is_enabled boolean, is_deleted boolean"
 VERSION = "ref_id long, ref_type string, version string, description string, config string"
 
 
 def create(headers: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds headers (name, description) with ids above all others, disabled. New rows are what one call sends: few."""
-    top = headers.agg(F.coalesce(F.max("id"), F.lit(10_000)).alias("top"))
-    numbered = new.select("name", "description", F.row_number().over(Window.orderBy("name", "description")).alias("n"))
-    rows = numbered.crossJoin(F.broadcast(top)).select(
-        (F.col("top") + F.col("n")).alias("id"), "name", "description", F.lit(None).cast("string").alias("publish_version"),
+    """Adds headers (name, description) with ids above all others, disabled; numbered by partition, not in one task."""
+    top = headers.agg(F.coalesce(F.max("id"), F.lit(10_000))).first()[0]
+    rows = next_ids(headers.sparkSession, top, new.select("name", "description"), step=1).select(
+        "id", "name", "description", F.lit(None).cast("string").alias("publish_version"),
         F.lit(None).cast("string").alias("draft_version"), F.lit(False).alias("is_enabled"), F.lit(False).alias("is_deleted"),
     )
     return headers.unionByName(rows)
@@ -96,12 +96,42 @@ def heartbeat(metrics: DataFrame, beats: DataFrame) -> DataFrame:
 
 
 def report(jobs: DataFrame, reports: DataFrame) -> DataFrame:
-    """Jobs after one report each (job_id, event, worker_address): guarded, and only from the worker that holds the job."""
-    r = reports.select("job_id", F.col("event").alias("__event"), F.col("worker_address").alias("__from"))
-    joined = jobs.join(r, "job_id", "left")
-    owns = F.coalesce((F.col("worker_address").isNull() | (F.col("worker_address") == F.col("__from"))), F.lit(False)) & F.col("__event").isNotNull()
-    new = transitions.next_state(F.col("status"), F.col("__event"), transitions.JOB_EVENTS)
-    changed = joined.withColumn("__new", F.when(owns, new).otherwise(F.col("status")))
-    takes = owns & (F.col("__new") != F.col("status"))
-    out = changed.withColumn("worker_address", F.when(takes, F.coalesce("worker_address", "__from")).otherwise(F.col("worker_address"))).withColumn("status", F.col("__new"))
-    return out.select(*jobs.columns)
+    """Jobs after their reports (job_id, event, worker_address and, if there may be several of a job, at): guarded, only from
+    the worker that holds the job, one after another in order of `at`, event and address. A job without a worker goes to the
+    first that gets it to change."""
+    order = ["at"] if "at" in reports.columns else []
+    own = reports.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(*order, "event", F.col("worker_address").alias("from")))).alias("__reports"))
+    start = F.struct(F.col("status"), F.col("worker_address").alias("worker"))
+
+    def step(state: Column, r: Column) -> Column:
+        owns = F.coalesce(state["worker"].isNull() | (state["worker"] == r["from"]), F.lit(False))
+        new = F.when(owns, transitions.next_state(state["status"], r["event"], transitions.JOB_EVENTS)).otherwise(state["status"])
+        return F.struct(new.alias("status"), F.when(new != state["status"], F.coalesce(state["worker"], r["from"])).otherwise(state["worker"]).alias("worker"))
+
+    done = jobs.join(own, "job_id", "left").withColumn("__state", F.aggregate(F.coalesce("__reports", F.array().cast(own.schema["__reports"].dataType)), start, step))
+    return done.withColumn("status", F.col("__state.status")).withColumn("worker_address", F.col("__state.worker")).select(*jobs.columns)
+
+
+def enable_schedules(schedules: DataFrame, firings: DataFrame, now: str, *ids: int) -> tuple[DataFrame, DataFrame]:
+    """Schedules enabled and planned at once; a firing (by delay_id) that is there already is not made again."""
+    chosen = F.col("schedule_id").isin(list(ids))
+    on = schedules.withColumn("is_enabled", F.when(chosen, F.lit(True)).otherwise(F.col("is_enabled")))
+    planned = temporal.plan_firings(on.filter(chosen), now)
+    new = temporal.firings_of(planned).join(firings.select("delay_id"), "delay_id", "left_anti")
+    return temporal.carried(on, planned), firings.select(*new.columns).unionByName(new)
+
+
+def disable_schedules(schedules: DataFrame, *ids: int) -> DataFrame:
+    """Schedules disabled; their firings stay and are dropped when they are due."""
+    return schedules.withColumn("is_enabled", F.when(F.col("schedule_id").isin(list(ids)), F.lit(False)).otherwise(F.col("is_enabled")))
+
+
+def page_of(rows: DataFrame, key: str, current: int = 1, size: int = PAGE, **equal) -> tuple[DataFrame, DataFrame]:
+    """A page of apps, executions or workers, by key descending, whose columns have these values; None is no condition."""
+    found = scans.lookup(rows, **{k: v for k, v in equal.items() if v is not None})
+    return scans.page(found, current, size, key=key), scans.page_info(found, current, size)
+
+
+def get_by(rows: DataFrame, **key) -> DataFrame:
+    """The app, execution or worker of a key that is not deleted."""
+    return scans.lookup(rows, **key)

@@ -88,14 +88,23 @@ def cycles(edges: DataFrame, most_nodes: int | None = None) -> DataFrame:
     return graphs.select("dag_id", F.pandas_udf(cyclic, "boolean")(ends_of("source"), ends_of("target")).alias("cyclic"))
 
 
+def _ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of each graph that has edges: origins and lasts, and how many are not of type start and end. One table of degrees."""
+    end = lambda of, out: F.struct(F.col(of).alias("node_id"), F.lit(out).alias("out"), F.lit(1 - out).alias("into"))
+    degrees = edges.select("dag_id", F.explode(F.array(end("source", 1), end("target", 0))).alias("d"))
+    degrees = degrees.groupBy("dag_id", "d.node_id").agg(F.sum("d.out").alias("out"), F.sum("d.into").alias("into")).filter("out = 0 OR into = 0")
+    typed = degrees.join(nodes.select("dag_id", "node_id", "node_type"), ["dag_id", "node_id"])
+    return typed.groupBy("dag_id").agg(
+        F.count_if(F.col("into") == 0).alias("origins"), F.count_if((F.col("into") == 0) & (F.col("node_type") != "start")).alias("wrong"),
+        F.count_if(F.col("out") == 0).alias("lasts"), F.count_if((F.col("out") == 0) & (F.col("node_type") != "end")).alias("wrong_lasts"),
+    )
+
+
 def validate(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
     """dag_id and the first error: too_many_nodes, no_origin, origin_type, no_last, cyclic; null if there is none."""
     real = valid_edges(nodes, edges)
     sizes = nodes.groupBy("dag_id").agg(F.count(F.lit(1)).alias("n"))
-    first = origins(real).join(nodes.select("dag_id", "node_id", "node_type"), ["dag_id", "node_id"])
-    first = first.groupBy("dag_id").agg(F.count(F.lit(1)).alias("origins"), F.count_if(F.col("node_type") != "start").alias("wrong"))
-    ends = lasts(real).groupBy("dag_id").agg(F.count(F.lit(1)).alias("lasts"))
-    all_ = sizes.join(first, "dag_id", "left").join(ends, "dag_id", "left").join(cycles(real, most_nodes), "dag_id", "left")
+    all_ = sizes.join(_ends(nodes, real), "dag_id", "left").join(cycles(real, most_nodes), "dag_id", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
     error = first_error((F.col("n") > most_nodes, "too_many_nodes"), (none("origins"), "no_origin"), (F.col("wrong") > 0, "origin_type"), (none("lasts"), "no_last"), (F.coalesce("cyclic", F.lit(False)), "cyclic"))
     return all_.select("dag_id", error.alias("error"))
@@ -108,13 +117,10 @@ def validate_workflow(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST
     executor's own settings are not columns of nodes.
     """
     real = valid_edges(nodes, edges)
-    typed = nodes.select("dag_id", "node_id", "node_type")
     unknown = ~F.coalesce(F.col("node_type").isin("start", "executor", "end"), F.lit(False))
     sizes = nodes.groupBy("dag_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("bad"))
     sizes = sizes.join(edges.select("dag_id").distinct(), "dag_id", "full")
-    of = lambda ends, kind, n, wrong: ends.join(typed, ["dag_id", "node_id"]).groupBy("dag_id").agg(F.count(F.lit(1)).alias(n), F.count_if(F.col("node_type") != kind).alias(wrong))
-    first, last = of(origins(real), "start", "origins", "wrong"), of(lasts(real), "end", "lasts", "wrong_lasts")
-    all_ = sizes.join(first, "dag_id", "left").join(last, "dag_id", "left").join(cycles(real, most_nodes), "dag_id", "left")
+    all_ = sizes.join(_ends(nodes, real), "dag_id", "left").join(cycles(real, most_nodes), "dag_id", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
     error = first_error(
         (none("n"), "empty"), (F.col("n") > most_nodes, "too_many_nodes"), (F.col("bad") > 0, "node_error"), (none("origins"), "no_origin"), (F.col("wrong") > 0, "origin_type"),

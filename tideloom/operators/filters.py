@@ -67,9 +67,9 @@ def version_of(mode: str, publish: str = "publish_version", draft: str = "draft_
     return {"PUBLISH": p, "DRAFT": d, "PUBLISH_FIRST": F.coalesce(p, d), "DRAFT_FIRST": F.coalesce(d, p)}.get(mode, F.lit(None).cast("string"))
 
 
-def parameters(column: str = "params", prefix: str = "worker.lb.") -> Column:
+def parameters(column: str | Column = "params", prefix: str = "worker.lb.") -> Column:
     """Entries of a map whose key has the prefix and more, without it; null values go."""
-    kept = F.map_filter(F.col(column), lambda k, v: k.startswith(prefix) & (F.length(F.trim(k)) > len(prefix)) & v.isNotNull())
+    kept = F.map_filter(F.col(column) if isinstance(column, str) else column, lambda k, v: k.startswith(prefix) & (F.length(F.trim(k)) > len(prefix)) & v.isNotNull())
     return F.transform_keys(kept, lambda k, _: F.substring(k, len(prefix) + 1, 1 << 20))
 
 

@@ -85,6 +85,32 @@ def fold_events(log: DataFrame, key: str, at: list[str], event: str, events: Map
     return grouped.select(key, F.col("s.status").alias("status"), F.col("s.applied").alias("applied"), "events")
 
 
+def start_executions(executions: DataFrame, at: Column) -> DataFrame:
+    """Executions that may start are running from `at` on (start_at)."""
+    allowed, to = EXECUTION_EVENTS["start"]
+    return guarded_update(executions, allowed, to, start_at=at)
+
+
+def finish_executions(executions: DataFrame, success: Column, at: Column) -> DataFrame:
+    """Running executions end at `at` (end_at) as succeed or failed; where `success` is null, nothing is reported."""
+    allowed, to = EXECUTION_EVENTS["run_success"]
+    done = guarded_update(executions, allowed, to, success.isNotNull(), end_at=at)
+    return done.withColumn("status", F.when(F.col("applied") & ~success, F.lit(EXECUTION_EVENTS["run_fail"][1])).otherwise(F.col("status")))
+
+
+def after_failure(jobs: DataFrame, most: Column) -> DataFrame:
+    """A failed job is retried, as inited with one more retry, while it may be; else it stays failed. `retried` says which."""
+    again = F.coalesce((F.col("status") == "failed") & (F.col("retry_times") < most), F.lit(False))
+    out = jobs.withColumn("retried", again)
+    out = out.withColumn("retry_times", F.when(F.col("retried"), F.col("retry_times") + 1).otherwise(F.col("retry_times")))
+    return out.withColumn("status", F.when(F.col("retried"), F.lit("inited")).otherwise(F.col("status")))
+
+
+def own_reports(reports: DataFrame, tasks: DataFrame, key: list[str], worker: str) -> DataFrame:
+    """Reports of tasks that exist, from the worker that has the task; those of other workers are refused."""
+    return reports.join(tasks.select(*key, worker), [*key, worker], "left_semi")
+
+
 def lease(locks: DataFrame, owner: str, now: str, seconds: int) -> DataFrame:
     """Leases after an attempt to take each: granted when free, expired or already the owner's."""
     at = F.expr(f"TIMESTAMP_NTZ '{now}'")

@@ -206,9 +206,87 @@ def expand_firings(t):
     return J.expand_fixed_rate(t("schedule"), NOW, 86400)
 
 
-@query(f"SELECT schedule_id, CASE WHEN next_trigger_at < TIMESTAMP '{NOW}' THEN {RATE} ELSE next_trigger_at END AS next_at FROM {{schedule}}")
+#: The first minute of a cron `0 0/step * * * ?` strictly after {x}.
+CRON_AFTER = "date_trunc('hour', {x}) + to_minutes(CAST(least((minute({x}) // step + 1) * step, CASE WHEN (minute({x}) // step + 1) * step > 59 THEN 60 ELSE 59 END) AS INTEGER))"
+CAUGHT = f"""SELECT *, CASE WHEN next_trigger_at >= TIMESTAMP '{NOW}' THEN next_trigger_at WHEN schedule_type = 'cron' THEN {CRON_AFTER.replace('{x}', f"coalesce(last_trigger_at, TIMESTAMP '{NOW}')")}
+    WHEN last_trigger_at IS NULL THEN greatest(start_time + to_seconds(schedule_delay), TIMESTAMP '{NOW}') ELSE greatest(last_trigger_at + to_seconds(schedule_interval), TIMESTAMP '{NOW}') END AS next_at
+    FROM (SELECT *, CAST(regexp_extract(schedule_cron, '0/(\\d+)', 1) AS BIGINT) AS step FROM (SELECT *, nullif(schedule_cron, '') AS cron FROM {{schedule}}) z) s""".replace("regexp_extract(schedule_cron, '0/(\\d+)', 1) AS BIGINT", "nullif(regexp_extract(schedule_cron, '0/(\\d+)', 1), '') AS BIGINT")
+
+
+@query(f"SELECT schedule_id, schedule_type, next_at FROM ({CAUGHT}) c")
 def catch_up(t):
-    return t("schedule").select("schedule_id", J.catch_up(F.expr(f"TIMESTAMP_NTZ '{NOW}'")).alias("next_at"))
+    """The next trigger of every type; the fixed delay of a past one counts from its last trigger."""
+    return J.catch_up(t("schedule"), NOW)
+
+
+#: Firings of enabled schedules: the caught-up next one if it is valid and in the look-ahead, and what follows it by type.
+PLANNED = f"""WITH c AS (SELECT *, greatest(TIMESTAMP '{NOW}', start_time) AS lo, least(end_time, TIMESTAMP '{NOW}' + INTERVAL 600 SECOND) AS hi FROM ({CAUGHT}) x WHERE is_enabled),
+    due AS (SELECT * FROM c WHERE next_at BETWEEN lo AND hi),
+    f AS (SELECT schedule_id, next_at AS trigger_at FROM due UNION SELECT schedule_id, unnest(generate_series(next_at, hi, to_seconds(schedule_interval))) FROM due WHERE schedule_type = 'fixed_rate'
+        UNION SELECT schedule_id, m FROM (SELECT schedule_id, step, hi, unnest(generate_series(date_trunc('minute', next_at) + INTERVAL 1 MINUTE, hi, INTERVAL 1 MINUTE)) AS m FROM due WHERE schedule_type = 'cron') x WHERE minute(m) % step = 0),
+    g AS (SELECT schedule_id, count(*) AS firings, max(trigger_at) AS last FROM f GROUP BY 1)"""
+AFTER = CRON_AFTER.replace("{x}", "last")
+
+
+@query(f"""{PLANNED} SELECT schedule_id, coalesce(firings, 0) AS firings, coalesce(last, last_trigger_at) AS last_trigger_at, CASE WHEN firings IS NULL THEN next_at WHEN schedule_type = 'fixed_rate' THEN last + to_seconds(schedule_interval)
+    WHEN schedule_type = 'cron' THEN {AFTER} END AS next_trigger_at FROM c LEFT JOIN g USING (schedule_id)""")
+def schedule_trigger(t):
+    """What triggering leaves of each enabled schedule: number of firings, last and next trigger carried on."""
+    return J.plan_firings(t("schedule"), NOW).select("schedule_id", F.size("firings").cast("long").alias("firings"), "last_trigger_at", "next_trigger_at")
+
+
+@query(f"{PLANNED} SELECT concat(schedule_id, '_', strftime(trigger_at, '%Y-%m-%d %H:%M:%S.%g')) AS delay_id, schedule_id, trigger_at, 'init' AS status FROM f")
+def expand_all_firings(t):
+    """The firings of all three types."""
+    return J.firings_of(J.plan_firings(t("schedule"), NOW))
+
+
+@query(f"""{PLANNED} SELECT delay_id, schedule_id, trigger_at, status FROM {{firing}} x WHERE NOT (status = 'init' AND schedule_id % 2 = 0)
+    UNION ALL SELECT concat(schedule_id, '_', strftime(trigger_at, '%Y-%m-%d %H:%M:%S.%g')), schedule_id, trigger_at, 'init' FROM f WHERE schedule_id % 2 = 0""")
+def schedule_save(t):
+    """Schedules of even ids change: their initial firings go and they are planned anew."""
+    old = t("schedule").withColumn("fingerprint", F.lit("a"))
+    new = old.withColumn("fingerprint", F.when(F.col("schedule_id") % 2 == 0, "b").otherwise("a"))
+    return J.save(old, new, t("firing"), NOW)[1]
+
+
+@query(f"""SELECT s.schedule_id, coalesce(e.end_at, s.last_feedback_at) AS last_feedback_at FROM {{schedule}} s LEFT JOIN
+    (SELECT schedule_id, max(trigger_at) AS end_at FROM {{job}} WHERE status IN ('succeed', 'failed') GROUP BY 1) e USING (schedule_id)""")
+def schedule_feedback(t):
+    finished = t("job").filter("status IN ('succeed', 'failed')").select("schedule_id", F.col("trigger_at").alias("end_at"))
+    return J.feedback(t("schedule"), finished).select("schedule_id", "last_feedback_at")
+
+
+@query(f"""SELECT execution_id, CASE WHEN status = 'inited' THEN 'running' ELSE status END AS status, CASE WHEN status = 'inited' THEN TIMESTAMP '{NOW}' END AS start_at FROM {{execution}}""")
+def execution_start(t):
+    rows = t("execution").withColumn("start_at", F.lit(None).cast("timestamp_ntz"))
+    return I.start_executions(rows, F.expr(f"TIMESTAMP_NTZ '{NOW}'")).select("execution_id", "status", "start_at")
+
+
+@query(f"""SELECT e.execution_id, CASE WHEN e.status = 'running' AND done THEN CASE WHEN failed THEN 'failed' ELSE 'succeed' END ELSE e.status END AS status, CASE WHEN e.status = 'running' AND done THEN TIMESTAMP '{NOW}' END AS end_at
+    FROM {{execution}} e LEFT JOIN (SELECT execution_id, count(*) FILTER (status NOT IN ('succeed', 'failed')) = 0 AS done, count(*) FILTER (status = 'failed') > 0 AS failed FROM {{job}} GROUP BY 1) j USING (execution_id)""")
+def execution_finish(t):
+    """Running executions whose jobs are all finished end, failed if any job did."""
+    p = D.progress(t("job"), "execution_id")
+    rows = t("execution").join(p.select("execution_id", F.when(F.col("finished"), F.col("fail_num") == 0).alias("ok")), "execution_id", "left").withColumn("end_at", F.lit(None).cast("timestamp_ntz"))
+    return I.finish_executions(rows, F.col("ok"), F.expr(f"TIMESTAMP_NTZ '{NOW}'")).select("execution_id", "status", "end_at")
+
+
+@query("""SELECT execution_id, ref_id, status = 'failed' AND retry_times < 20 AS retried, CASE WHEN status = 'failed' AND retry_times < 20 THEN 'inited' ELSE status END AS status,
+    CASE WHEN status = 'failed' AND retry_times < 20 THEN retry_times + 1 ELSE retry_times END AS retry_times FROM {job}""")
+def job_retry(t):
+    return I.after_failure(t("job"), F.lit(20)).select("execution_id", "ref_id", "retried", "status", "retry_times")
+
+
+TASK_KEY = "job_id * 4 + event_id % 4"
+
+
+@query("SELECT task, split_part(s, ':', 1) AS status, CAST(split_part(s, ':', 2) AS BIGINT) AS applied, events FROM (SELECT job_id * 4 + event_id % 4 AS task, " + FOLD.replace("IN ('inited', 'dispatched')", "= 'dispatched'") + " AS s, count(*) AS events FROM {job_event} WHERE worker_id = job_id % 3 GROUP BY 1) x")
+def task_state_machine(t):
+    """States of tasks, keyed by job and task, after the reports of the worker that has them; others are refused."""
+    log = t("job_event").withColumn("task", F.expr(TASK_KEY))
+    tasks = log.select("task", (F.col("job_id") % 3).alias("worker_id")).distinct()
+    return I.fold_events(I.own_reports(log, tasks, ["task"], "worker_id"), "task", ["at", "event_id"], "event", I.TASK_EVENTS, "inited")
 
 
 @query("""SELECT delay_id, status FROM {firing} f WHERE NOT (status = 'init' AND schedule_id % 2 = 0)""")
@@ -265,7 +343,11 @@ def round_robin_equal(t):
     return K.round_robin(_requests(t), t("worker"), "app_id", "worker_id", "number").select("event_id", "worker_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT app_id, list(worker_id ORDER BY worker_id) AS ids, list(cpu_processors ORDER BY worker_id) AS ws, CAST(sum(cpu_processors) AS BIGINT) AS total FROM {{worker}} JOIN {{worker_metric}} USING (worker_id) WHERE cpu_processors > 0 GROUP BY 1),
+    c(app_id, step, pick, cur) AS (SELECT app_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), list_transform(ws, lambda x: CAST(0 AS BIGINT)) FROM s
+    UNION ALL SELECT app_id, step + 1, CAST(list_position(up, list_max(up)) AS BIGINT), list_transform(up, lambda x, i: CASE WHEN i = list_position(up, list_max(up)) THEN x - total ELSE x END)
+    FROM (SELECT c.app_id, c.step, s.total, list_transform(c.cur, lambda x, i: x + CAST(s.ws[i] AS BIGINT)) AS up FROM c JOIN s USING (app_id) WHERE c.step < s.total) y)
+    SELECT r.event_id, s.ids[c.pick] AS worker_id FROM ({REQUESTS}) r JOIN s USING (app_id) JOIN c ON c.app_id = r.app_id AND c.step = r.number % s.total + 1""")
 def round_robin_weighted(t):
     servers = t("worker").join(t("worker_metric"), "worker_id")
     return K.weighted_round_robin(_requests(t), servers, "app_id", "worker_id", "cpu_processors", "number").select("event_id", "worker_id")
@@ -291,10 +373,10 @@ def failover_candidates(t):
 
 @query(f"""SELECT app_id, worker_id, accesses FROM (SELECT c.*, w.status, w.is_enabled, w.is_deleted, m.available_queue_num, m.free_memory FROM ({CANDIDATES}) c JOIN {{worker}} w USING (worker_id) JOIN {{worker_metric}} m USING (worker_id)) w
     WHERE status = 'online' AND is_enabled AND NOT is_deleted AND available_queue_num > 0 AND free_memory >= 500 AND {T_NAMED}
-    AND EXISTS (SELECT 1 FROM {{worker_executor}} e WHERE e.worker_id = w.worker_id AND e.name LIKE '%BRASS') QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY accesses, worker_id) = 1""")
+    AND EXISTS (SELECT 1 FROM {{worker_executor}} e WHERE e.worker_id = w.worker_id AND e.name LIKE 'STANDARD%') QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY accesses, worker_id) = 1""")
 def dispatch_plan(t):
     """The worker that gets each app's job: online, enabled, with executor, tags and resources, least used."""
-    w = B.available(_workers(t)).filter(F.exists(F.coalesce("executors", F.array().cast("array<string>")), lambda n: n.endswith("BRASS")))
+    w = B.available(_workers(t)).filter(F.exists(F.coalesce("executors", F.array().cast("array<string>")), lambda n: n.startswith("STANDARD")))
     w = B.with_resources(B.with_tags(w, [B.TagFilter("tier", "EXISTS")]), memory=500)
     stats = D.access_statistics(w.select(F.col("worker_id").alias("server_id")), t("access_log"), NOW, 2880)
     return K.least_frequent(w.join(stats.withColumnRenamed("server_id", "worker_id"), "worker_id"), "app_id", "worker_id").select("app_id", "worker_id", "accesses")

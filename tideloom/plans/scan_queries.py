@@ -8,6 +8,7 @@ from ..functions import scalar as S
 from ..operators import filters as B
 from ..operators import joins as C
 from ..operators import scans as A
+from ..sources.files import next_ids
 from ..sources.relations import NOW
 from .registry import query
 
@@ -242,3 +243,58 @@ def address_parse(t):
 @query("SELECT execution_id, ref_id, retry_times < 3 AS retry FROM {job} WHERE status = 'failed'")
 def retry_allowed(t):
     return t("job").filter("status = 'failed'").select("execution_id", "ref_id", S.retry_allowed(F.col("retry_times"), F.lit(3)).alias("retry"))
+
+
+@query("SELECT execution_id, ref_id, status FROM {job} j WHERE EXISTS (SELECT 1 FROM {job} k WHERE k.execution_id % 50 = 1 AND k.ref_id = 1 AND k.execution_id = j.execution_id AND k.ref_id = j.ref_id)")
+def job_by_natural_key(t):
+    keys = t("job").filter("execution_id % 50 = 1 AND ref_id = 1").select("execution_id", "ref_id")
+    return A.multi_get(t("job"), keys).select("execution_id", "ref_id", "status")
+
+
+@query("SELECT v.ref_id, v.version, v.description FROM {version} v WHERE EXISTS (SELECT 1 FROM {trigger} t WHERE t.trigger_id = v.ref_id AND t.draft_version = v.version)")
+def versions_by_ids(t):
+    keys = t("trigger").filter("draft_version IS NOT NULL").select(F.col("trigger_id").alias("ref_id"), F.lit("trigger").alias("ref_type"), F.col("draft_version").alias("version"))
+    return A.multi_get(t("version"), keys).select("ref_id", "version", "description")
+
+
+@query(f"SELECT concat('broker-', broker_id) AS name, CAST(broker_id AS VARCHAR) AS owner, last_heartbeat_at AS expire_at FROM {{broker}} WHERE broker_id = 3")
+def lock_by_name(t):
+    locks = t("broker").select(F.col("host").alias("name"), F.col("broker_id").cast("string").alias("owner"), F.col("last_heartbeat_at").alias("expire_at"))
+    return A.lookup(locks, name="broker-3")
+
+
+@query("SELECT worker_id FROM {worker} WHERE worker_id IN (SELECT worker_id FROM {worker_executor} WHERE name = (SELECT min(name) FROM {worker_executor}))")
+def worker_with_executor(t):
+    return B.with_executor(_workers(t), t("worker_executor").agg(F.min("name")).first()[0]).select("worker_id")
+
+
+@query("SELECT count(*) AS workers FROM {worker} WHERE false")
+def tag_unknown_condition(t):
+    return B.with_tags(_workers(t), [B.TagFilter("tier", "SOMETHING_ELSE")]).agg(F.count(F.lit(1)).alias("workers"))
+
+
+@query("SELECT worker_id, CASE WHEN worker_id % 2 = 0 THEN 'size=10.0,zone=a' ELSE 'size=10.0' END AS parameters FROM {worker}".replace("10.0", "1"))
+def lb_parameters(t):
+    params = F.create_map(F.lit("worker.lb.size"), F.lit("1"), F.lit("other"), F.lit("x"), F.lit("worker.lb."), F.lit("y"), F.lit("worker.lb.zone"), F.when(F.col("worker_id") % 2 == 0, F.lit("a")))
+    own = t("worker").select("worker_id", B.parameters(params).alias("p"))
+    return own.select("worker_id", F.array_join(F.array_sort(F.transform(F.map_entries("p"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("parameters"))
+
+
+@query("SELECT worker_id, 'host=' || host || ',app=' || app_id AS tags FROM {worker}")
+def key_value_tags(t):
+    texts = F.array(F.concat(F.lit("host="), "host"), F.concat(F.lit(" app = "), F.col("app_id").cast("string")), F.lit("broken"), F.lit("=x"), F.concat(F.lit("host="), "host"))
+    own = t("worker").select("worker_id", texts.alias("texts")).select("worker_id", B.parse_tags("texts").alias("t"))
+    return own.select("worker_id", F.array_join(F.transform("t", lambda x: F.concat(x["name"], F.lit("="), x["value"])), ",").alias("tags"))
+
+
+@query("SELECT count(*) AS n, count(*) AS ids, true AS above FROM {trigger}")
+def id_segments(t):
+    """Ids for all triggers, a block to each partition: distinct and above the current one."""
+    ids = next_ids(t.spark, 10_000, t("trigger").select("name").repartition(5))
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.bool_and(F.col("id") > 10_000).alias("above"))
+
+
+@query("SELECT count(*) AS n, true AS right_length FROM {trigger}")
+def short_uuids(t):
+    ids = t("trigger").select(S.short_uuid().alias("u"))
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("u").rlike("^[0-9a-f]{8}$")).alias("right_length"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..streaming import liveness as N
+from .join_queries import FOLD
 from .registry import query
 
 
 def sink(t) -> str:
     """A new folder that all executors share: below spark.checkpoint.dir, else (one machine) a temporary one."""
     base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", t.spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/tideloom/stream-{uuid.uuid4().hex[:12]}" if base else "file://" + tempfile.mkdtemp(prefix="stream-")
 
 
@@ -27,18 +31,18 @@ def _beats(t):
 
 @query("SELECT user_id AS node_id, time_bucket(INTERVAL 10 SECOND, ts) AS start, count(*) AS beats FROM events GROUP BY 1, 2")
 def stream_online_windows(t):
-    return N.drain(N.online_windows(_beats(t), late="60 days"), sink(t), "complete")
+    return N.drain(N.online_windows(_beats(t), late="60 days"), sink(t), "update", ["node_id", "start"])
 
 
 @query("SELECT user_id AS server_id, b - INTERVAL 5 MINUTE * o AS start, count(*) AS accesses FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS b, unnest([0, 1]) AS o FROM events) x GROUP BY 1, 2")
 def stream_access_windows(t):
     log = _events(t).select(F.col("user_id").alias("server_id"), F.col("ts").alias("dispatch_at"))
-    return N.drain(N.access_windows(log, retention="60 days"), sink(t), "complete")
+    return N.drain(N.access_windows(log, retention="60 days"), sink(t), "update", ["server_id", "start"])
 
 
 @query(f"SELECT user_id AS node_id, max(ts) AS last_at, count(*) AS beats FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 SECOND")
 def stream_offline_nodes(t):
-    return N.offline(N.drain(N.last_seen(_beats(t)), sink(t), "complete"), "2024-01-30 12:00:00")
+    return N.offline(N.drain(N.last_seen(_beats(t)), sink(t), "update", ["node_id"]), "2024-01-30 12:00:00")
 
 
 @query("SELECT user_id, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2")
@@ -47,10 +51,10 @@ def stream_first_reports(t):
     return got.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"SELECT job_id, split_part(s, ':', 1) AS status, CAST(split_part(s, ':', 2) AS BIGINT) AS applied FROM (SELECT job_id, {FOLD} AS s FROM {{job_event}} GROUP BY job_id) x")
 def stream_report_states(t):
     names = F.element_at(F.array(*(F.lit(x) for x in ("dispatch_success", "start", "run_success", "run_fail", "report"))), (F.col("event_id") % 5 + 1).cast("int"))
     log = _events(t).select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), "event_id", names.alias("event"))
-    return N.drain(N.report_states(log), sink(t), "update")
+    return N.drain(N.report_states(log), sink(t), "update", ["job_id"])
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.transitions import JOB_EVENTS, states_of
 
@@ -19,21 +20,25 @@ def read_stream(spark: SparkSession, folder: str, name: str, like: DataFrame, fi
     return reader.parquet(f"{folder}/{name}")
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into a folder: appended rows, or the last complete or updated result.
+def drain(stream: DataFrame, path: str, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there into a folder: appended rows, or (mode update) the last row of each key.
 
-    Restarts from its checkpoint in the same folder. `update` keeps each batch's rows; `complete` the last batch's.
+    Restarts from its checkpoint in the same folder. `update` writes each batch's changed rows under the batch's number, so
+    a batch that runs again replaces its own; the latest batch of a key counts. State is bounded by the stream's watermark.
     """
     spark = stream.sparkSession
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
     if mode == "append":
         q = writer.format("parquet").option("path", f"{path}/data").start()
     else:
-        how = "overwrite" if mode == "complete" else "append"
-        q = writer.foreachBatch(lambda df, _: df.write.mode(how).parquet(f"{path}/data")).start()
+        q = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/data/batch={n}")).start()
     q.awaitTermination()
-    schema = stream.schema
-    return spark.read.schema(schema).parquet(f"{path}/data")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    if q.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/data")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("r")).select("r.*")
 
 
 def online_windows(beats: DataFrame, seconds: int = 10, late: str = "1 day") -> DataFrame:
