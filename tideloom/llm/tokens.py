@@ -17,7 +17,7 @@ ODD = re.compile(r"\s[ \n]|[ \n]\s")
 #: piece of the letters and one of the punctuation.
 LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]*)([!-&(-/:-@\[-`{-~]*)([^\0]*)\0")
 #: Words that a worker remembers in each of two generations.
-CACHED = 700_000
+CACHED = 350_000
 #: Characters that are encoded at a time; longer texts are cut before a space or line end, where words don't depend on each other.
 CHUNK = 4_000_000
 
