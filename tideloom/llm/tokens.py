@@ -181,6 +181,8 @@ class WordCache:
         source = np.repeat((np.cumsum(size) - size)[place] - (ends - n), n)
         source += np.arange(len(source))
         ids, cut = flat[source].tobytes(), (np.append(0, ends)[at] * 4).tolist()
+        del split, coded
+        pa.default_memory_pool().release_unused()  # what Arrow took goes back, since workers live on
         return [ids[lo:hi] for lo, hi in zip(cut, cut[1:])]
 
 
