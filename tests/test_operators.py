@@ -1,6 +1,6 @@
 """Cases that the given tables don't hold: nulls, ties, cycles, odd configurations."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,6 +248,28 @@ def test_streams_over_several_batches(spark, tmp_path):
     assert sorted((r["node_id"], r["last_at"].second, r["beats"]) for r in seen.collect()) == [(1, 8, 3), (2, 8, 3)]
 
 
+def test_spells_over_several_batches(spark, tmp_path):
+    """One file a batch: gaps of up to the timeout join heartbeats, longer ones end a spell, the last spell may go on."""
+    from tideloom.streaming import liveness as N
+
+    at = lambda s: datetime(2024, 1, 1, s // 3600, s // 60 % 60, s % 60)
+    for i, beats in enumerate(([(1, 0), (1, 10), (2, 3)], [(1, 21), (2, 14), (None, 5)], [(1, 40), (3, None)], [(2, 400)])):
+        spark.createDataFrame([(n, s if s is None else at(s)) for n, s in beats], "node_id long, at timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    like = spark.read.parquet(f"{tmp_path}/in/*")
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = N.drain(N.online_spells(stream, late="1 minute"), f"{tmp_path}/spells").collect()
+    assert {r["offline_at"] - r["last_at"] for r in got} == {timedelta(seconds=10)}
+    expected = [(1, at(0), at(10), 2), (1, at(21), at(21), 1), (1, at(40), at(40), 1), (2, at(3), at(3), 1), (2, at(14), at(14), 1), (None, at(5), at(5), 1)]
+    assert sorted(((x["node_id"], x["online_at"], x["last_at"], x["beats"]) for x in got), key=repr) == sorted(expected, key=repr)
+
+
+def test_liveness_of_workers(spark):
+    w = spark.createDataFrame([(1, "online"), (2, "offline"), (3, "offline"), (4, None), (None, "online")], "worker_id long, status string")
+    m = spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 1)), (2, datetime(2024, 1, 2)), (4, datetime(2024, 1, 1)), (None, None)], "worker_id long, last_heartbeat_at timestamp_ntz")
+    got = I.mark_liveness(w, m, "2024-01-02 00:00:06").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(1, "offline", True), (2, "online", True), (3, "offline", False), (4, "offline", True), (None, "online", False)], key=repr)
+
+
 def test_executions_and_retries(spark):
     e = spark.createDataFrame([(1, "inited", None, None), (2, "running", None, None), (3, "running", None, None), (4, "failed", None, None)], "id int, status string, start_at timestamp_ntz, end_at timestamp_ntz")
     at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")

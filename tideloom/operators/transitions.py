@@ -41,6 +41,16 @@ def guarded_update(rows: DataFrame, allowed: tuple[str, ...], to: str, where: Co
     return out.withColumn("status", F.when(F.col("applied"), F.lit(to)).otherwise(F.col("status")))
 
 
+def mark_liveness(workers: DataFrame, metrics: DataFrame, now: str, timeout_seconds: int = 6) -> DataFrame:
+    """Workers (worker_id, status, ...) with `applied`: online if their latest heartbeat is within the timeout before now or
+    later, offline if it is older; those without a heartbeat stay as they are."""
+    seen = metrics.groupBy("worker_id").agg(F.max("last_heartbeat_at").alias("__seen"))
+    alive = F.col("__seen") >= F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {timeout_seconds} SECONDS")
+    to = F.when(alive, F.lit("online")).when(~alive, F.lit("offline")).otherwise(F.col("status"))
+    changed = workers.join(seen, "worker_id", "left").withColumn("applied", ~F.col("status").eqNullSafe(to)).withColumn("status", to)
+    return changed.select(*workers.columns, "applied")
+
+
 def states_of(events: Mapping, initial: str) -> list[str]:
     """All states that a key can be in."""
     return sorted({initial} | {to for _, to in events.values()})

@@ -132,6 +132,13 @@ def job_start(t):
     return I.guarded_update(t("job"), ("inited", "dispatched"), "running").select("execution_id", "ref_id", "applied", "status")
 
 
+@query("""SELECT worker_id, CASE WHEN seen >= TIMESTAMP '2024-01-01 00:29:54' THEN 'online' WHEN seen < TIMESTAMP '2024-01-01 00:29:54' THEN 'offline' ELSE status END AS status,
+    coalesce(CASE WHEN seen >= TIMESTAMP '2024-01-01 00:29:54' THEN status <> 'online' ELSE status <> 'offline' AND seen IS NOT NULL END, false) AS applied
+    FROM {worker} LEFT JOIN (SELECT worker_id, max(last_heartbeat_at) AS seen FROM {worker_metric} GROUP BY worker_id) m USING (worker_id)""")
+def worker_liveness(t):
+    return I.mark_liveness(t("worker"), t("worker_metric"), "2024-01-01 00:30:00").select("worker_id", "status", "applied")
+
+
 @query("""SELECT execution_id, ref_id, coalesce(status IN ('running', 'inited') AND worker_id % 2 = 0, false) AS applied, CASE WHEN status IN ('running', 'inited') AND worker_id % 2 = 0 THEN 'failed' ELSE status END AS status FROM {job}""")
 def job_fail_owned(t):
     return I.guarded_update(t("job"), ("running", "inited"), "failed", F.col("worker_id") % 2 == 0).select("execution_id", "ref_id", "applied", "status")

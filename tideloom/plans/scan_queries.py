@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import scalar as S
 from ..operators import filters as B
 from ..operators import joins as C
@@ -115,6 +116,28 @@ def trigger_page(t):
     return A.page(A.lookup(t("trigger")), 3, 50, [("is_enabled", "asc")], "trigger_id").select("trigger_id", "name", "is_enabled")
 
 
+@query("SELECT worker_id, app_id, host, port FROM {worker} WHERE NOT is_deleted AND status = 'online' ORDER BY worker_id DESC LIMIT 20")
+def worker_page(t):
+    return api.page_of(t("worker"), "worker_id", status="online", app_id=None)[0].select("worker_id", "app_id", "host", "port")
+
+
+@query("SELECT execution_id, executable_id, executable_type, trigger_at, status FROM {execution} WHERE status = 'running' ORDER BY execution_id DESC LIMIT 20 OFFSET 20")
+def execution_page(t):
+    return api.page_of(t("execution"), "execution_id", 2, status="running")[0].select("execution_id", "executable_id", "executable_type", "trigger_at", "status")
+
+
+@query("SELECT count(*) AS total, count(*) > 40 AS has_next FROM {execution} WHERE status = 'running'")
+def execution_page_info(t):
+    return api.page_of(t("execution"), "execution_id", 2, status="running")[1]
+
+
+@query("SELECT ref_id, worker_id, status FROM {job} WHERE execution_id = (SELECT min(execution_id) FROM {job})")
+def jobs_of_execution(t):
+    """The jobs of an execution and the workers that hold them."""
+    first = t("job").agg(F.min("execution_id").alias("execution_id"))
+    return A.multi_get(t("job"), first).select("ref_id", "worker_id", "status")
+
+
 @query("SELECT count(*) AS total, count(*) > 60 AS has_next FROM {trigger} WHERE NOT is_deleted")
 def trigger_page_info(t):
     return A.page_info(A.lookup(t("trigger")), 3, 20)

@@ -45,6 +45,14 @@ def stream_offline_nodes(t):
     return N.offline(N.drain(N.last_seen(_beats(t)), sink(t), "update", ["node_id"]), "2024-01-30 12:00:00")
 
 
+@query("""SELECT user_id AS node_id, min(ts) AS online_at, max(ts) AS last_at, max(ts) + INTERVAL 3600 SECOND AS offline_at, count(*) AS beats FROM (
+    SELECT user_id, ts, sum(CASE WHEN ts <= before + INTERVAL 3600 SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spell FROM (
+        SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE ts IS NOT NULL) x) y
+    GROUP BY user_id, spell HAVING max(ts) + INTERVAL 3600 SECOND <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 3600 SECOND FROM events)""")
+def stream_online_spells(t):
+    return N.drain(N.online_spells(_beats(t), 3600), sink(t))
+
+
 @query("SELECT user_id, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2")
 def stream_first_reports(t):
     got = N.drain(N.first_reports(_events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "60 days"), sink(t))

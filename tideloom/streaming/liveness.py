@@ -65,6 +65,20 @@ def offline(seen: DataFrame, now: str, timeout_seconds: int = 10) -> DataFrame:
     return seen.filter(F.col("last_at") < F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {timeout_seconds} SECONDS"))
 
 
+def online_spells(beats: DataFrame, timeout_seconds: int = 10, late: str = "1 hour") -> DataFrame:
+    """node_id, online_at, last_at, offline_at, beats: each spell in which no two heartbeats of a node are further apart than
+    the timeout, once event time has passed its end by `late`. So a node is found offline by event time, not by a clock.
+
+    Append mode: a spell is sent once and its state is then dropped. A spell that may go on is not sent; heartbeats without a
+    time count for nothing.
+    """
+    timed = beats.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    w = F.session_window("at", f"{timeout_seconds} seconds")
+    spells = timed.groupBy("node_id", w.alias("w")).agg(F.max("at").alias("last_at"), F.count(F.lit(1)).alias("beats"))
+    times = {"online_at": "w.start", "last_at": "last_at", "offline_at": "w.end"}
+    return spells.select("node_id", *(F.col(c).cast("timestamp_ntz").alias(k) for k, c in times.items()), "beats")
+
+
 def first_reports(log: DataFrame, key: list[str], at: str, within: str = "30 days") -> DataFrame:
     """Each key once: repeated deliveries are dropped."""
     return log.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark(key)
