@@ -3,6 +3,8 @@
 import hashlib
 import math
 import struct
+import zlib
+from collections import Counter
 from itertools import product
 from types import SimpleNamespace
 
@@ -121,6 +123,30 @@ def test_quality_held_out(spark):
     assert (good["predicted"] == 1).mean() > 0.97 and (bad["predicted"] == 0).mean() > 0.7
 
 
+def test_ngrams_by_hand():
+    text = "Go go, GO go go !! !! I 12 x_y aB"
+    words = ["Go", "go", ",", "GO", "go", "go", "!!", "!!", "I", "12", "x", "_", "y", "aB"]
+    shapes = [5, 4, 8, 2, 4, 1, 11, 1, 3, 7, 4, 8, 4, 6]
+    p, h = [int(x) for x in quality.PRIMES], [zlib.crc32(w.encode()) for w in words]
+    kinds = [[x * p[2] for x in h] + [a * p[0] + b * p[1] for a, b in zip(h, h[1:])]]
+    three = [1 << 16 | a << 8 | b << 4 | c for a, b, c in zip(shapes, shapes[1:], shapes[2:])]
+    kinds.append([x * p[3] for x in [a << 4 | b for a, b in zip(shapes, shapes[1:])] + three])
+    want = {}
+    for grams in kinds:
+        n = Counter((g & (2**64 - 1)) >> 20 & 0xFFF for g in grams)
+        length = math.sqrt(sum(math.log1p(c) ** 2 for c in n.values()))
+        for g, c in n.items():
+            want[g] = want.get(g, 0) + math.log1p(c) / length
+    at, x = quality.Hasher(12).features(text)
+    assert at.tolist() == sorted(want) and np.abs(x - [want[g] for g in sorted(want)]).max() < 1e-12
+
+
+def test_shards_without_rows_have_no_say(spark):
+    df = spark.createDataFrame([(7, "good words")], "doc_id long, text string")
+    w = quality.train(df, spark.createDataFrame([(7, 1)], "doc_id long, label int"))
+    assert np.abs(w - quality.fit(["good words"], [1], quality.Settings())).max() < 1e-12 and w.any()
+
+
 def test_ftrl_by_hand():
     s = quality.Settings(bits=8, epochs=1, l1=0.01, l2=0.1, alpha=0.5)
     texts, labels = ["a b", "!! c", "a"], [1, 0, 1]

@@ -105,13 +105,13 @@ def _fit_shard(s: Settings):
         pdf = pdf.sort_values("doc_id")
         w = fit(pdf["text"].tolist(), pdf["label"].tolist(), s)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"feature": at, "weight": w[at]})
+        return pd.DataFrame({"feature": [*at, -1], "weight": [*w[at], 1.0]})
 
     return rows
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> np.ndarray:
-    """Weights from `docs` (doc_id, text) joined with `labels` (doc_id, label 0 or 1).
+    """Weights from `docs` (doc_id, text) joined with `labels` (doc_id, label 0 or 1): the mean of the shards that have rows.
 
     Trains on a hash sample of about settings.train_docs documents in settings.shards tasks; only hashed weights,
     at most 2**bits + 1, pass through the driver. Rows with a null id, text or label are not learned from.
@@ -122,10 +122,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     texts = docs.filter("text IS NOT NULL").select("doc_id", "text").filter(in_fraction(F.col("doc_id"), share))
     sample = texts.join(known, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(settings.shards)))
     trained = sample.groupBy("shard").applyInPandas(_fit_shard(settings), "feature long, weight double")
-    got = trained.groupBy("feature").agg((F.sum("weight") / settings.shards).alias("weight")).toPandas()
-    weights = np.zeros((1 << settings.bits) + 1)
-    weights[got["feature"].to_numpy(int)] = got["weight"].to_numpy(float)
-    return weights
+    got = trained.groupBy("feature").agg(F.sum("weight").alias("weight")).toPandas()
+    sums = np.zeros((1 << settings.bits) + 2)  # the last, feature -1, counts the shards
+    sums[got["feature"].to_numpy(int)] = got["weight"].to_numpy(float)
+    return sums[:-1] / max(1.0, sums[-1])
 
 
 @lru_cache(1)
