@@ -238,6 +238,20 @@ def test_lists_to_visit_are_measured_over_all_rows(spark):
         assert len(model.centroids) == 24 and least <= ann.lists_to_visit(index, sent, 20, ann.Settings()) <= most
 
 
+@pytest.mark.parametrize("kind", ["odd_length", "tiny", "queries_apart"])
+def test_neighbours_of_other_vectors(spark, kind):
+    """Lengths that no number of parts divides, very small vectors, and queries that are unlike the rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (3000, 63 if kind == "odd_length" else 16)) * (1e-24 if kind == "tiny" else 1)
+    if kind == "queries_apart":
+        x = rng.normal(0, 1, (15, 16)).repeat(200, 0) + rng.normal(0, 1e-2, (3000, 16))
+        x[::20] = rng.normal(0, 1, (150, 16))
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": range(3000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    found = ann.search(v, v.filter("vec_id % 20 = 0")).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect()
+    want = by_force(range(3000), x, 20)
+    assert len(found) == 150 and sum(len(set(r["ids"]) & set(want[r["query_id"]])) for r in found) >= 0.93 * 20 * 150
+
+
 def test_sample_of_vectors_of_which_few_are_usable(spark):
     zero = spark.range(40_000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.0), F.lit(0.0)).alias("embedding"))
     few = spark.createDataFrame([(50_000 + i, [1.0, i / 8]) for i in range(3)], "vec_id long, embedding array<double>")
