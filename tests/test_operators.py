@@ -343,3 +343,14 @@ def test_entry_without_training_data(spark, tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'dispatch_plan' in e.queries() and not any(n.startswith('op') for n in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_a_broadcast_job_runs_once(spark):
+    """Each worker of a job has the result of its one run; jobs of apps without workers have no task."""
+    import uuid
+
+    jobs = spark.createDataFrame([(1, "a", 7), (2, "b", 7), (3, "c", 8), (4, None, 9)], "job_id long, input string, app_id int")
+    workers = spark.createDataFrame([(7, w) for w in range(50)] + [(9, 60)], "app_id int, worker_id long")
+    got = M.broadcast_run(jobs, workers, M.Executor("any", lambda x: x.upper() + uuid.uuid4().hex)).collect()
+    assert len({r["task_id"] for r in got if r["job_id"] == 1}) == 50 and len(got) == 101
+    assert len({r["result"] for r in got if r["job_id"] == 1}) == 1 and [r["status"] for r in got if r["job_id"] == 4] == ["failed"]
