@@ -354,3 +354,25 @@ def test_a_broadcast_job_runs_once(spark):
     got = M.broadcast_run(jobs, workers, M.Executor("any", lambda x: x.upper() + uuid.uuid4().hex)).collect()
     assert len({r["task_id"] for r in got if r["job_id"] == 1}) == 50 and len(got) == 101
     assert len({r["result"] for r in got if r["job_id"] == 1}) == 1 and [r["status"] for r in got if r["job_id"] == 4] == ["failed"]
+
+
+@pytest.mark.parametrize("name", ["workflow_validate", "dag_validate"])
+def test_validation_shuffles_graphs_once(spark, name):
+    """Static plan: each use of the jobs deals them out by execution, and nodes and edges meet without another shuffle."""
+    from support import SMALL
+
+    from tideloom.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 10
+
+
+def test_validation_of_odd_graphs(spark):
+    """Ids that don't rise along edges, edges to nodes that are missing, repeated edges and nodes, a loop on a node, 100 nodes."""
+    kinds = {"down": {3: "start", 2: "executor", 1: "end"}, "apart": {1: "start", 2: "end"}, "self": {1: "start", 2: "executor", 3: "end"}, "full": {i: "start" if i == 1 else "end" if i == 100 else "executor" for i in range(1, 101)}}
+    nodes = spark.createDataFrame([(d, i, k) for d, own in kinds.items() for i, k in own.items()] + [("twice", 1, "start"), ("twice", 1, "start")], "dag_id string, node_id int, node_type string")
+    edges = [("down", 3, 2), ("down", 2, 1), ("apart", 1, 2), ("self", 1, 2), ("self", 2, 2), ("self", 2, 3), ("twice", 1, 2), ("none", 1, None)] + [("full", i, i + 1) for i in range(1, 100)]
+    edges = spark.createDataFrame(edges * 2 + [("apart", 1, i) for i in range(1_000, 3_000)], "dag_id string, source int, target int")
+    got = {r[0]: r[1] for r in L.validate_workflow(nodes, edges).collect()}
+    assert got == {"down": None, "apart": None, "self": "cyclic", "full": None, "twice": "no_origin", "none": "empty"}
+    assert {r[0]: r[1] for r in L.validate(nodes, edges).collect()} == {k: v for k, v in got.items() if k != "none"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import first_error
@@ -69,45 +69,64 @@ def is_cyclic(edges: Iterable[tuple]) -> bool:
     return left > 0
 
 
-def cycles(edges: DataFrame, most_nodes: int | None = None) -> DataFrame:
+def _may_be_cyclic() -> Column:
+    """Whether an edge of `e` doesn't lead to a greater id, as one of each cycle's does."""
+    return F.exists("e", lambda x: x["source"] >= x["target"])
+
+
+def _cyclic() -> Column:
+    """Whether the edges `e` of a row have a cycle; where they are null, false. Many rows go to Python in one batch."""
+
+    def cyclic(sources: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([a is not None and is_cyclic(zip(a.tolist(), b.tolist())) for a, b in zip(sources, targets)], dtype="bool")
+
+    return F.pandas_udf(cyclic, "boolean")(F.transform("e", lambda x: x["source"]), F.transform("e", lambda x: x["target"]))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
     """dag_id and whether the graph has a cycle, reachable from an origin or not.
 
-    With most_nodes, graphs of more nodes are left out, for callers to whom they are invalid whatever their edges; they
-    are counted before edges are gathered. A graph is a row, many of which go to Python in one batch; its test is linear.
+    A graph is a row; its test is linear, and only graphs with an edge that doesn't lead to a greater id are sent to it.
     """
-    some = edges.distinct()
-    if most_nodes is not None:
-        ends = edges.select("dag_id", F.explode(F.array("source", "target")).alias("n")).groupBy("dag_id").agg(F.count_distinct("n").alias("n")).filter(F.col("n") <= most_nodes)
-        some = some.join(ends, "dag_id", "left_semi")
-    graphs = some.groupBy("dag_id").agg(F.collect_list(F.struct("source", "target")).alias("e"))
-    ends_of = lambda name: F.transform("e", lambda x: x[name])
+    graphs = edges.groupBy("dag_id").agg(F.collect_set(F.struct("source", "target")).alias("e"))
+    return graphs.select("dag_id", F.when(_may_be_cyclic(), F.col("e")).alias("e")).select("dag_id", _cyclic().alias("cyclic"))
 
-    def cyclic(sources: pd.Series, targets: pd.Series) -> pd.Series:
-        return pd.Series([is_cyclic(zip(a.tolist(), b.tolist())) for a, b in zip(sources, targets)], dtype="bool")
 
-    return graphs.select("dag_id", F.pandas_udf(cyclic, "boolean")(ends_of("source"), ends_of("target")).alias("cyclic"))
+def _graphs(nodes: DataFrame, edges: DataFrame, most_nodes: int) -> DataFrame:
+    """A row for each graph: n nodes, counted to most_nodes + 1 (null without nodes), bad ones, and of graphs of no more than
+    most_nodes: nodes, valid edges as e, and the nodes that are origins and lasts.
 
+    Nodes and edges are brought together by dag_id alone. A graph that has more nodes is invalid whatever its edges, so no row
+    holds more than most_nodes + 1 nodes and their most_nodes squared edges; other edges are left out before they are gathered.
+    """
+    place = F.row_number().over(Window.partitionBy("dag_id").orderBy("node_id"))
+    unknown = ~F.coalesce(F.col("node_type").isin("start", "executor", "end"), F.lit(False))
+    own = nodes.select("dag_id", "node_id", "node_type", place.alias("place")).filter(F.col("place") <= most_nodes + 1).groupBy("dag_id")
+    own = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("bad"), F.collect_list(F.struct("node_id", "node_type")).alias("nodes"))
+    own = own.select("dag_id", F.struct("n", "bad", F.when(F.col("n") <= most_nodes, F.col("nodes")).alias("nodes")).alias("own"))
+    has = lambda end: F.exists("own.nodes", lambda x: x["node_id"] == F.col(end))
+    both = edges.select("dag_id", "source", "target").join(own, "dag_id", "full")
+    graphs = both.groupBy("dag_id").agg(F.first("own", True).alias("own"), F.collect_set(F.when(has("source") & has("target"), F.struct("source", "target"))).alias("e"))
+    ends = lambda name: F.transform("e", lambda x: x[name])
+    origin, last = F.array_except(ends("source"), ends("target")), F.array_except(ends("target"), ends("source"))
+    return graphs.select("dag_id", "own.*", "e", origin.alias("origins"), last.alias("lasts"))
 
-def _ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Of each graph that has edges: origins and lasts, and how many are not of type start and end. One table of degrees."""
-    end = lambda of, out: F.struct(F.col(of).alias("node_id"), F.lit(out).alias("out"), F.lit(1 - out).alias("into"))
-    degrees = edges.select("dag_id", F.explode(F.array(end("source", 1), end("target", 0))).alias("d"))
-    degrees = degrees.groupBy("dag_id", "d.node_id").agg(F.sum("d.out").alias("out"), F.sum("d.into").alias("into")).filter("out = 0 OR into = 0")
-    typed = degrees.join(nodes.select("dag_id", "node_id", "node_type"), ["dag_id", "node_id"])
-    return typed.groupBy("dag_id").agg(
-        F.count_if(F.col("into") == 0).alias("origins"), F.count_if((F.col("into") == 0) & (F.col("node_type") != "start")).alias("wrong"),
-        F.count_if(F.col("out") == 0).alias("lasts"), F.count_if((F.col("out") == 0) & (F.col("node_type") != "end")).alias("wrong_lasts"),
-    )
+
+def _not_of_type(ends: str, kind: str) -> Column:
+    """Whether some of a graph's nodes among `ends` have another type."""
+    return F.coalesce(F.exists("nodes", lambda x: F.array_contains(ends, x["node_id"]) & (x["node_type"] != kind)), F.lit(False))
+
+
+def _with_cycles(graphs: DataFrame) -> DataFrame:
+    """dag_id and error, which is `cyclic` where there is no other and a cycle."""
+    some = graphs.select("dag_id", "error", F.when(F.col("error").isNull() & _may_be_cyclic(), F.col("e")).alias("e"))
+    return some.select("dag_id", F.coalesce("error", F.when(_cyclic(), "cyclic")).alias("error"))
 
 
 def validate(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
     """dag_id and the first error: too_many_nodes, no_origin, origin_type, no_last, cyclic; null if there is none."""
-    real = valid_edges(nodes, edges)
-    sizes = nodes.groupBy("dag_id").agg(F.count(F.lit(1)).alias("n"))
-    all_ = sizes.join(_ends(nodes, real), "dag_id", "left").join(cycles(real, most_nodes), "dag_id", "left")
-    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
-    error = first_error((F.col("n") > most_nodes, "too_many_nodes"), (none("origins"), "no_origin"), (F.col("wrong") > 0, "origin_type"), (none("lasts"), "no_last"), (F.coalesce("cyclic", F.lit(False)), "cyclic"))
-    return all_.select("dag_id", error.alias("error"))
+    error = first_error((F.col("n") > most_nodes, "too_many_nodes"), (F.size("origins") == 0, "no_origin"), (_not_of_type("origins", "start"), "origin_type"), (F.size("lasts") == 0, "no_last"))
+    return _with_cycles(_graphs(nodes, edges, most_nodes).filter("n IS NOT NULL").withColumn("error", error))
 
 
 def validate_workflow(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
@@ -116,17 +135,11 @@ def validate_workflow(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST
     A graph that has edges but no nodes is empty. A node's error is a type that is none of start, executor and end; its
     executor's own settings are not columns of nodes.
     """
-    real = valid_edges(nodes, edges)
-    unknown = ~F.coalesce(F.col("node_type").isin("start", "executor", "end"), F.lit(False))
-    sizes = nodes.groupBy("dag_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("bad"))
-    sizes = sizes.join(edges.select("dag_id").distinct(), "dag_id", "full")
-    all_ = sizes.join(_ends(nodes, real), "dag_id", "left").join(cycles(real, most_nodes), "dag_id", "left")
-    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
     error = first_error(
-        (none("n"), "empty"), (F.col("n") > most_nodes, "too_many_nodes"), (F.col("bad") > 0, "node_error"), (none("origins"), "no_origin"), (F.col("wrong") > 0, "origin_type"),
-        (none("lasts"), "no_last"), (F.col("wrong_lasts") > 0, "last_type"), (F.coalesce("cyclic", F.lit(False)), "cyclic"),
+        (F.col("n").isNull(), "empty"), (F.col("n") > most_nodes, "too_many_nodes"), (F.col("bad") > 0, "node_error"), (F.size("origins") == 0, "no_origin"), (_not_of_type("origins", "start"), "origin_type"),
+        (F.size("lasts") == 0, "no_last"), (_not_of_type("lasts", "end"), "last_type"),
     )
-    return all_.select("dag_id", error.alias("error"))
+    return _with_cycles(_graphs(nodes, edges, most_nodes).withColumn("error", error))
 
 
 def finished(nodes: DataFrame, edges: DataFrame) -> DataFrame:
