@@ -376,3 +376,23 @@ def test_validation_of_odd_graphs(spark):
     got = {r[0]: r[1] for r in L.validate_workflow(nodes, edges).collect()}
     assert got == {"down": None, "apart": None, "self": "cyclic", "full": None, "twice": "no_origin", "none": "empty"}
     assert {r[0]: r[1] for r in L.validate(nodes, edges).collect()} == {k: v for k, v in got.items() if k != "none"}
+
+
+def test_composed_maps():
+    """Runs of one to 1,000 keys' maps against applying them one by one."""
+    import numpy as np
+
+    from tideloom.streaming.liveness import _composed
+
+    rng = np.random.default_rng(4)
+    keys = np.repeat(np.arange(6), [1, 2, 3, 7, 64, 1_000])
+    to, n = rng.integers(0, 5, (len(keys), 5)), rng.integers(0, 2, (len(keys), 5))
+    want = []
+    for k in range(6):
+        for s in range(5):
+            at, count = s, 0
+            for a, b in zip(to[keys == k], n[keys == k]):
+                at, count = a[at], count + b[at]
+            want.append((k, s, at, count))
+    got_to, got_n = _composed(keys, to.copy(), n.copy())
+    assert [(k, s, got_to[k, s], got_n[k, s]) for k in range(6) for s in range(5)] == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,36 +85,62 @@ def first_reports(log: DataFrame, key: list[str], at: str, within: str = "30 day
     return log.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark(key)
 
 
+def _composed(keys: np.ndarray, to: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of equal keys its rows' maps in order, composed: rows x states, where a row leads and how many events apply.
+
+    Neighbours are composed in pairs until each key has one row, so the work is linear and a long run takes few rounds.
+    """
+    while len(keys):
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        place = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+        if not place.any():
+            break
+        odd = np.flatnonzero(place % 2)
+        via = to[odd - 1]
+        n[odd - 1] += np.take_along_axis(n[odd], via, 1)
+        to[odd - 1] = np.take_along_axis(to[odd], via, 1)
+        kept = place % 2 == 0
+        keys, to, n = keys[kept], to[kept], n[kept]
+    return to, n
+
+
 def report_states(log: DataFrame, key: str = "job_id", events: Mapping = JOB_EVENTS, initial: str = "inited") -> DataFrame:
     """Status of each key after its reports so far, guarded as in fold_events, kept as state between batches.
 
     log: key, at, event_id, event. Reports of a batch are taken in order of (at, event_id): they are dealt by range, each
-    partition folds its reports of a key to a map over the states, and a key composes those few maps.
+    partition folds its reports of all keys to maps over the states, and a key composes those few maps.
     """
     states = states_of(events, initial)
+    names = list(events)
+    # A row for each event and, last, one for others, which change nothing: where it leads from each state.
+    leads = np.array([[states.index(events[e][1]) if s in events[e][0] else i for i, s in enumerate(states)] for e in names] + [list(range(len(states)))])
+    counts = np.array([[int(s in events[e][0]) for s in states] for e in names] + [[0] * len(states)])
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [f for f in frames if len(f)]
         if not rows:
             return
-        for k, own in pd.concat(rows).sort_values(["at", "event_id"]).groupby(key, sort=False, dropna=False):
-            to = [(s, 0) for s in states]
-            for event in own["event"]:
-                allowed, new = events.get(event, ((), None))
-                to = [(new, n + 1) if s in allowed else (s, n) for s, n in to]
-            first = own.iloc[0]
-            yield pd.DataFrame({key: [k], "at": [first["at"]], "event_id": [first["event_id"]], "statuses": [[s for s, _ in to]], "counts": [[n for _, n in to]]})
+        own = pd.concat(rows)
+        own["place"] = pd.factorize(own[key], use_na_sentinel=False)[0]
+        own = own.sort_values(["place", "at", "event_id"])
+        event = pd.Index(names).get_indexer(own["event"])
+        to, n = _composed(own["place"].to_numpy(), leads[event], counts[event])
+        first = own.drop_duplicates("place")
+        yield pd.DataFrame({key: first[key], "at": first["at"], "event_id": first["event_id"], "leads": list(to), "counts": list(n)})
 
     def step(key_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         status, applied = state.get if state.exists else (initial, 0)
-        chunks = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        for statuses, counts in zip(chunks["statuses"], chunks["counts"]):
-            i = states.index(status)
-            status, applied = statuses[i], applied + int(counts[i])
-        state.update((status, applied))
-        yield pd.DataFrame({key: [key_[0]], "status": [status], "applied": [applied]})
+        chunks = list(frames)
+        chunks = chunks[0] if len(chunks) == 1 else pd.concat(chunks)
+        if len(chunks) > 1:
+            chunks = chunks.sort_values(["at", "event_id"])
+        i = states.index(status)
+        for to, n in zip(chunks["leads"], chunks["counts"]):
+            i, applied = int(to[i]), applied + int(n[i])
+        state.update((states[i], applied))
+        yield pd.DataFrame({key: [key_[0]], "status": [states[i]], "applied": [applied]})
 
     types = dict(log.dtypes)
     ranged = log.select(key, "at", "event_id", "event").repartitionByRange(key, "at", "event_id")
-    chunks = ranged.mapInPandas(fold, f"{key} {types[key]}, at {types['at']}, event_id {types['event_id']}, statuses array<string>, counts array<long>")
+    chunks = ranged.mapInPandas(fold, f"{key} {types[key]}, at {types['at']}, event_id {types['event_id']}, leads array<int>, counts array<long>")
     return chunks.groupBy(key).applyInPandasWithState(step, f"{key} long, status string, applied long", "status string, applied long", "update", "NoTimeout")
