@@ -356,6 +356,35 @@ def test_a_broadcast_job_runs_once(spark):
     assert len({r["result"] for r in got if r["job_id"] == 1}) == 1 and [r["status"] for r in got if r["job_id"] == 4] == ["failed"]
 
 
+def test_broadcast_results_take_little_room(spark, tmp_path):
+    """Rows come in an order that files store in little room, and a list's rows are made apart from the join."""
+    jobs = spark.range(2_000).selectExpr("id AS job_id", "CAST(id % 8 AS INT) AS app_id", "repeat('x', CAST(id * 7919 % 40 AS INT)) AS input")
+    workers = spark.range(4_000).selectExpr("id * 7919 AS worker_id", "CAST(id % 8 AS INT) AS app_id")
+    df = M.broadcast_run(jobs, workers, M.Executor("size", lambda x: str(len(x)))).select("job_id", "task_id", "result")
+    df.write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    want = jobs.join(workers, "app_id").selectExpr("job_id", "concat('SUB_', worker_id) AS task_id", "CAST(length(input) AS STRING) AS result")
+    assert out.count() == 1_000_000 and out.exceptAll(want).isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 400_000
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Coalesce") < plan.index("Join")
+
+
+@pytest.mark.parametrize("fleet", [M.FLEET, 0])
+def test_broadcast_to_odd_fleets(spark, monkeypatch, fleet):
+    """Lists filled up and over, repeated jobs and workers, apps of one side alone or null, apps as text, failures, no rows."""
+    monkeypatch.setattr(M, "FLEET", fleet)
+    n, k = M.JOBS, M.WORKERS
+    sizes = {"one": (1, 1), "full": (n, k), "over": (n + 1, 2 * k + 1), "idle": (0, 3), "": (3, 2), None: (5, 5), "none": (4, 0)}
+    jobs = [(i, a, None if i % 5 == 0 else "y" * (i % 9)) for a, (j, _) in sizes.items() for i in range(j)] + [(0, "one", "again")]
+    workers = [(a, w) for a, (_, c) in sizes.items() for w in range(c)] + [("one", 0)]
+    got = M.broadcast_run(spark.createDataFrame(jobs, "job_id long, app_id string, input string"), spark.createDataFrame(workers, "app_id string, worker_id int"), M.Executor("size", lambda x: str(len(x))))
+    key = lambda r: tuple(map(str, r))
+    want = [(i, f"SUB_{w}", None if x is None else str(len(x)), "failed" if x is None else "succeed") for i, a, x in jobs for b, w in workers if a == b and a is not None]
+    assert sorted(map(key, got.drop("error_msg").collect())) == sorted(map(key, want))
+    assert M.broadcast_run(spark.createDataFrame([], "job_id long, app_id string, input string"), spark.createDataFrame(workers, "app_id string, worker_id int"), M.Executor("size", str)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["workflow_validate", "dag_validate"])
 def test_validation_shuffles_graphs_once(spark, name):
     """Static plan: each use of the jobs deals them out by execution, and nodes and edges meet without another shuffle."""
